@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import attribution, packing, token_files, tokens
+from . import attribution, jaccard, packing, token_files, tokens
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_docs(spark, sf_dir), tokens.default_path())
 
 
+def op4_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_groups(_docs(spark, sf_dir))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.token_file_folder(spark)
     manifest = token_files.write_token_files(_docs(spark, sf_dir), folder, tokens.default_path())
