@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import attribution, jaccard, packing, suffix, token_files, tokens
+from . import attribution, jaccard, langid, neighbours, packing, suffix, token_files, tokens
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,12 +26,32 @@ def op4_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(_docs(spark, sf_dir))
 
 
+#: Rows that nothing may be learned from.
+HELD_OUT = "crc32(cast(doc_id as string)) % 3 = 1"
+#: Labelled rows of each language that the classifiers are fitted on, about.
+TRAIN_PER_LANG = 800
+
+
+def lang_model(docs: DataFrame) -> langid.Model:
+    return langid.fit(langid.training_sample(docs, f"not ({HELD_OUT})", TRAIN_PER_LANG, "doc_id", "text", "lang"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    found = langid.identify(docs.select("doc_id", "text"), lang_model(docs))
+    return found.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.token_file_folder(spark)
     manifest = token_files.write_token_files(_docs(spark, sf_dir), folder, tokens.default_path())
     return token_files.read_token_files(spark, folder, manifest)
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id % 20 = 0")
+
+
 def op9_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(_docs(spark, sf_dir)).drop("kept")
 
