@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, jaccard, langid, neighbours, packing, suffix, token_files, tokens
+from . import attribution, jaccard, langid, licenses, mixing, neighbours, packing, quality, suffix, token_files, tokens
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_docs(spark, sf_dir), tokens.default_path())
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_docs(spark, sf_dir)).drop("detections")
+
+
 def op4_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(_docs(spark, sf_dir))
 
@@ -52,8 +56,17 @@ def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id % 20 = 0")
 
 
+def op8_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.clean_lines(_docs(spark, sf_dir))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_failed_lines")
+
+
 def op9_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.remove_repeats(_docs(spark, sf_dir)).drop("kept")
+    return suffix.remove_repeats(_docs(spark, sf_dir), keep="none").drop("kept")
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

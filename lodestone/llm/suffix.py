@@ -20,6 +20,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import byte_view, cut, mix, randoms, small
 
@@ -97,16 +98,19 @@ class Suffixes:
             yield base[s], far[s], near[s], k1, k2, weight[r][s]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) for each row of docs.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, carry: tuple[str, ...] = (), keep: str = "bytes") -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept for each row of docs.
 
-    A byte goes if it lies in a string of length bytes that starts at another place of the input too; overlaps count. Null
-    texts are empty. Equal and null ids stay rows of their own. Strings are compared by 128 bits of hash, rows told apart by 64.
+    keep: kept holds the remaining "bytes", or them as "text" (a character that lost a part of its bytes goes whole), or "none".
+
+    A byte goes if it lies in a string of length bytes that starts at another place of the input too; overlaps count.
+    carry: further columns that rows keep, under their own names. Null texts are empty. Equal and null ids stay rows of their own. Strings are compared by 128 bits of hash, rows told apart by 64.
     """
     import pyarrow as pa
 
     work = Suffixes(length)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    whole_rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(f"`{c}`") for c in carry]).withColumn("row", F.xxhash64("doc_id", "text"))
     # Texts too short for a repeat stay out of the passes.
     long_enough = base.filter(F.octet_length("text") >= length)
 
@@ -178,6 +182,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = cut(spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans")))
     row_bytes = 64 + 32 * int(spans.agg(F.avg(F.size("spans"))).head()[0] or 0)
 
+    shown = {"bytes": lambda raw: raw, "text": lambda raw: raw.decode("utf-8", "ignore"), "none": lambda raw: None}[keep]
+
     def remove(batches):
         for batch in batches:
             data, offsets = byte_view(batch.column("text"))
@@ -195,9 +201,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     n_spans = int(covered[0]) + int((covered[1:] & ~covered[:-1]).sum())
                     kept = text[~covered]
                 raw = kept.tobytes()
-                for c, v in zip(out, (len(text), gone, n_spans, hashlib.sha256(raw).hexdigest(), raw), strict=True):
+                for c, v in zip(out, (len(text), gone, n_spans, hashlib.sha256(raw).hexdigest(), shown(raw)), strict=True):
                     c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string() if keep == "text" else pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True)), *(batch.column(c) for c in carry)], [f.name for f in schema])
 
-    return base.join(small(spans, row_bytes), "row", "left").select("doc_id", "text", "spans").mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    schema = T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept " + ("string" if keep == "text" else "binary"))
+    schema = T.StructType([*schema.fields, *[docs.schema[c] for c in carry]])
+    return whole_rows.join(small(spans, row_bytes), "row", "left").select("doc_id", "text", "spans", *[F.col(f"`{c}`") for c in carry]).mapInArrow(remove, schema)
