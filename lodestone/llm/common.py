@@ -38,6 +38,22 @@ def small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n * row_bytes <= BROADCAST_BYTES else df
 
 
+def fetched(rows: DataFrame, found: DataFrame, key: str, row_bytes: int, rest: bool = False):
+    """rows joined with found on key; with rest, also the rows whose key found doesn't hold, or None if a left join has them.
+
+    rows are wide and found holds few of their keys, mostly: found is broadcast if its counted rows take at most
+    BROADCAST_BYTES; else its keys are, if those do, so that only rows that it holds are shuffled; else all rows are.
+    """
+    n = found.count()
+    keys = F.broadcast(found.select(key))
+    if n * row_bytes <= BROADCAST_BYTES:
+        return (rows.join(F.broadcast(found), key, "left"), None) if rest else rows.join(F.broadcast(found), key)
+    if n * 64 <= BROADCAST_BYTES * 4:
+        held = rows.join(keys, key, "left_semi").join(found, key)
+        return (held, rows.join(keys, key, "left_anti")) if rest else held
+    return (rows.join(found, key, "left"), None) if rest else rows.join(found, key)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit (the finaliser of SplitMix64)."""
     x = x ^ (x >> np.uint64(30))

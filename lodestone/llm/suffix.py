@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_view, cut, mix, randoms, small
+from .common import byte_view, cut, fetched, mix, randoms
 
 WINDOW, DEPTH, CELL, GRAM = 192, 200, 16, 8
 #: Starts of a document that are worked on at a time.
@@ -37,9 +37,16 @@ class Suffixes:
             raise ValueError(f"length is {DEPTH + WINDOW + GRAM} or more")
         self.length = length
         self.core = length - CELL + 1
+        self.weights: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
     def _weights(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Offsets of the grams that cover depth bytes, and two sets of factors."""
+        if depth not in self.weights:
+            self.weights[depth] = self._new_weights(depth)
+        return self.weights[depth]
+
+    @staticmethod
+    def _new_weights(depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = np.unique(np.append(np.arange(0, depth - GRAM + 1, GRAM), depth - GRAM))
         return at, randoms(len(at), 21 + depth), randoms(len(at), 7021 + depth)
 
@@ -54,13 +61,13 @@ class Suffixes:
     def refined(self, grams: np.ndarray, starts: np.ndarray, depth: int, second: bool = False) -> np.ndarray:
         """Identifiers of the buckets at depth, from those of the grams at later offsets."""
         at, a, b = self._weights(depth)
-        out, w = np.zeros(len(starts), np.uint64), b if second else a
-        for o, x in zip(at.tolist(), w, strict=True):
-            out += grams[starts + o] * x
+        out, w = np.empty(len(starts), np.uint64), b if second else a
+        for i in range(0, len(starts), 4096):
+            out[i : i + 4096] = (grams[starts[i : i + 4096, None] + at] * w).sum(axis=1, dtype=np.uint64)
         return mix(out)
 
-    def runs(self, data: np.ndarray):
-        """(anchor, first start, last start, bucket, identity of the run's text) of every run, as arrays, a chunk at a time."""
+    def runs(self, data: np.ndarray, whole: bool = True):
+        """(anchor, first start, last start, bucket, identity of the run's text if whole) of every run, as arrays, a chunk at a time."""
         total = len(data) - self.length + 1
         for at in range(0, total, CHUNK):
             n = min(CHUNK, total - at)
@@ -76,6 +83,9 @@ class Suffixes:
             last = np.append(first[1:], n) - 1
             a = anchor[first]
             bucket = self.refined(grams, a, DEPTH)
+            if not whole:
+                yield a + at, first + at, last + at, bucket, None
+                continue
             ends = self.refined(grams, first, self.length) + mix(self.refined(grams, last, self.length) + np.uint64(1))
             text = mix(ends + mix(((a - first) << 20 | (last - first)).astype(np.uint64)))
             yield a + at, first + at, last + at, bucket, text
@@ -114,6 +124,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Texts too short for a repeat stay out of the passes.
     long_enough = base.filter(F.octet_length("text") >= length)
 
+    def find_buckets(batches):
+        for batch in batches:
+            data, offsets = byte_view(batch.column("text"))
+            held = [bucket for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True) for *_, bucket, _ in work.runs(data[lo:hi], whole=False)]
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64))], ["bucket"])
+
     def find_runs(batches):
         names = ["bucket", "text", "row", "anchor", "first", "last"]
         for batch in batches:
@@ -130,7 +147,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names)
 
     runs = long_enough.mapInArrow(find_runs, "bucket long, text long, row long, anchor long, first long, last long")
-    shared = runs.groupBy("bucket").count().filter("count > 1").select("bucket")
+    # The buckets of more than one suffix, written first: a join of two plain shuffles can be split where it is skewed.
+    shared = cut(long_enough.select("text").mapInArrow(find_buckets, "bucket long").groupBy("bucket").count().filter("count > 1").select("bucket"))
     runs = cut(runs.join(shared, "bucket", "left_semi"))
     # Pass 1. Equal runs of one bucket are one class.
     classes = cut(runs.groupBy("bucket", "text").agg(F.count("*").alias("n"), F.min(F.struct("row", "anchor", "first", "last")).alias("r")))
@@ -159,7 +177,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     )
 
     # Pass 2. A class of a run stands for all its members, so its weight is 2 if it has more than one.
-    cells = long_enough.join(small(left, row_bytes), "row").select("row", "text", "runs")
+    cells = fetched(long_enough, left, "row", row_bytes).select("row", "text", "runs")
     cells = cut(cells.mapInArrow(find_cells, "k1 long, k2 long, row long, base long, far long, near long, before binary, after binary, weight long"))
     cell = ["k1", "k2", "before", "after", "near", "far"]
     same = cut(cells.groupBy(*cell).agg(F.sum("weight").alias("n"), F.min(F.struct("row", "base")).alias("r")))
@@ -208,4 +226,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     schema = T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept " + ("string" if keep == "text" else "binary"))
     schema = T.StructType([*schema.fields, *[docs.schema[c] for c in carry]])
-    return whole_rows.join(small(spans, row_bytes), "row", "left").select("doc_id", "text", "spans", *[F.col(f"`{c}`") for c in carry]).mapInArrow(remove, schema)
+    cols = ["doc_id", "text", "spans", *carry]
+    touched, others = fetched(whole_rows, spans, "row", row_bytes, rest=True)
+    rows = touched.select(*[F.col(f"`{c}`") for c in cols])
+    if others is not None:
+        rows = rows.unionByName(others.withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)).select(*[F.col(f"`{c}`") for c in cols]))
+    return rows.mapInArrow(remove, schema)
