@@ -2,13 +2,15 @@
 
 A document's set is split by hash range into parts; the parts (with their contents) are its tokens here. How many parts
 there are follows from its size so that two documents at the threshold differ in fewer elements than there are parts: by
-the pigeonhole principle they then have a whole part in common. Documents of equal sets are one row from the start.
-
-Similar documents form groups, and the matrix holds each group's token union, a row for each (token, group). A query that
-shares no token with a group overlaps every member of it by less than the threshold asks, so the group stays closed. Groups
-that qualify are opened: a few of their members are compared exactly, and a link found merges the two groups. A row of the
-matrix whose groups are one says nothing more. That ends when every pair that shares a token is in one group or was compared,
-so no link is lost, while a group of near copies costs about one comparison a document instead of one a pair.
+the pigeonhole principle they then have a known number of whole parts in common. Documents of equal sets are one row from
+the start, and a token of one set alone says nothing.
+
+Sets are partitioned into groups of bounded size, by the most frequent token of each, so that similar ones are together. The
+matrix holds each group's token union, a row for each (token, group). A query's overlap with a group is bounded by the tokens
+that it shares with the union; a group that shares too few for any member to link stays closed. The others are opened: an
+inverted index of the group's elements gives the query's exact overlap with every member at once. Of the links found, those
+that join parts of the graph that a task hasn't joined yet are kept, so neither pairs nor links of a large family of near
+copies are ever listed, and none that matters is lost.
 """
 
 from __future__ import annotations
@@ -21,8 +23,10 @@ from .common import byte_view, cut, mix, slices, small
 from .graph import components
 from .words import shingle_sets
 
-#: Members of a matrix row up to which all its pairs are compared at once; larger rows are opened one member at a time.
-FEW = 24
+#: Sets of a group, about, and queries that one task opens a group for.
+GROUP_SETS, OPEN_QUERIES = 512, 4096
+#: Elements of an inverted index that are looked at together.
+AT_ONCE = 1 << 21
 
 
 class Parts:
@@ -45,11 +49,14 @@ class Parts:
             self.bounds[m] = np.array([(j << 64) // m for j in range(1, m)], np.uint64)
         return self.bounds[m]
 
-    def keys(self, s: np.ndarray) -> np.ndarray:
-        """s: sorted hashes. Level c serves pairs whose smaller set has a size of class c; the other is of it or the next class."""
+    def keys(self, s: np.ndarray) -> tuple[np.ndarray, int]:
+        """The tokens of s (sorted hashes), and how many of them any set that links to it shares at least.
+
+        Level c serves pairs whose smaller set has a size of class c; the other is of it or the next class.
+        """
         n = len(s)
         c = int(np.searchsorted(self.lo, n, "right")) - 1
-        out = []
+        out, need = [], 1 << 30
         for level in (c, c - 1):
             if level < 0 or not self.parts[level] or (level < c and (self.lo[c] - 1) * self.den < self.num * n):
                 continue
@@ -60,8 +67,10 @@ class Parts:
             j = np.arange(m, dtype=np.uint64)
             key = mix((sums[cuts[1:]] - sums[cuts[:-1]]) + mix((np.uint64(level) << np.uint64(40)) + j + (count.astype(np.uint64) << np.uint64(48))))
             # Equal parts may all be empty ones only if there are as many of those as parts that must be equal.
-            out.append(key if int((count == 0).sum()) >= m - differ else key[count > 0])
-        return np.concatenate(out) if out else np.empty(0, np.uint64)
+            empty = int((count == 0).sum())
+            out.append(key if empty >= m - differ else key[count > 0])
+            need = min(need, max(1, m - differ - empty))
+        return (np.concatenate(out) if out else np.empty(0, np.uint64)), need
 
 
 def _name(s: np.ndarray) -> int:
@@ -98,82 +107,144 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def tokens(batches):
         parts, seen = Parts(num, den), set()
         for _, sets in _sets(batches, k):
-            names, keys = [], []
+            names, keys, needs = [], [], []
             for s in sets:
                 if len(s) and (name := _name(s)) not in seen:
                     seen.add(name)
-                    keys.append(parts.keys(s))
-                    names.append(np.full(len(keys[-1]), name, np.int64))
+                    key, need = parts.keys(s)
+                    keys.append(key)
+                    names.append(np.full(len(key), name, np.int64))
+                    needs.append(np.full(len(key), min(need, 127), np.int8))
             if len(seen) > 1 << 18:
                 seen.clear()
             if names:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(names))], ["token", "set_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([y.view(np.int64) for y in keys], names, needs)], ["token", "set_id", "need"])
 
     digest = cut(base.mapInArrow(digests, "doc_id long, n_shingles long, set_id long"))
     whole = Window.partitionBy("token")
-    matrix = base.mapInArrow(tokens, "token long, set_id long")
+    matrix = base.mapInArrow(tokens, "token long, set_id long, need byte")
     matrix = matrix.withColumn("lo", F.min("set_id").over(whole)).withColumn("hi", F.max("set_id").over(whole)).filter("lo < hi")
-    matrix = cut(matrix.select("token", "set_id").distinct())
-    wanted = digest.join(matrix.select("set_id").distinct(), "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
+    matrix = cut(matrix.select("token", "set_id", "need").distinct())
+
+    # Groups: the sets of one most frequent token, in blocks.
+    often = matrix.groupBy("token").agg(F.count("*").alias("n"))
+    home = matrix.join(often, "token").groupBy("set_id").agg(F.max(F.struct("n", "token"))["token"].alias("home"))
+    home = cut(home)
+    crowd = home.groupBy("home").agg(F.ceil(F.count("*") / GROUP_SETS).alias("blocks"))
+    home = cut(home.join(crowd, "home").select("set_id", F.xxhash64("home", F.pmod(F.xxhash64("set_id"), F.col("blocks"))).alias("grp")))
+    rows = cut(matrix.join(home, "set_id"))
+    union = rows.select("token", F.col("grp").alias("of")).distinct()
+    # Of two groups, the one with the larger name asks the other; each asks itself.
+    shared = rows.join(union, "token").filter("grp >= of").groupBy("set_id", "of").agg(F.count("*").alias("n"), F.first("need").alias("need"))
+    asks = cut(shared.filter("n >= need").select("set_id", F.col("of").alias("grp")))
+    # A group that only its single member asks is done.
+    load = asks.groupBy("grp").agg(F.count("*").alias("n")).filter("n > 1").select("grp", F.ceil(F.col("n") / OPEN_QUERIES).alias("chunks"))
+    load = cut(load)
+    asked = asks.join(load, "grp").select("set_id", "grp", F.pmod(F.xxhash64("set_id"), F.col("chunks")).alias("chunk"), F.lit(1).alias("role"))
+    inside = home.join(load, "grp").select("set_id", "grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("role"))
+    work = cut(inside.unionByName(asked))
+
+    wanted = digest.join(work.select("set_id").distinct(), "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
     wanted = cut(wanted.filter("doc_id is not null"))
 
     def contents(batches):
         for part, sets in _sets(batches, k):
-            yield pa.RecordBatch.from_arrays([pa.array([_name(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_id", "elements"])
+            yield pa.RecordBatch.from_arrays([pa.array([_name(s) if len(s) else None for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_id", "elements"])
 
-    text = base.join(small(wanted.select("doc_id"), 16), "doc_id").mapInArrow(contents, "set_id long, elements binary")
+    text = base.join(small(wanted.select("doc_id"), 16), "doc_id", "left_semi").mapInArrow(contents, "set_id long, elements binary")
     elements = cut(text.join(small(wanted.select("set_id"), 16), "set_id", "left_semi").dropDuplicates(["set_id"]))
 
-    def compare(batches):
+    def opened(batches):
+        group, links = None, _Links()
         for batch in batches:
-            a, b = batch.column("x").to_pylist(), batch.column("y").to_pylist()
-            keep = []
-            for x, y in zip(a, b, strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                i = np.searchsorted(y, x)
-                both = int((y[np.minimum(i, len(y) - 1)] == x).sum())
-                keep.append(den * both >= num * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    def opened(pairs: DataFrame) -> DataFrame:
-        x = elements.select(F.col("set_id").alias("a"), F.col("elements").alias("x"))
-        y = elements.select(F.col("set_id").alias("b"), F.col("elements").alias("y"))
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
-
-    groups, live, compared, links = None, matrix, None, None
-    while True:
-        rows = live.join(groups, live["set_id"] == groups["vertex"], "left").select("token", "set_id", F.coalesce("root", "set_id").alias("grp")) if groups is not None else live.withColumn("grp", F.col("set_id"))
-        rows = rows.withColumn("lo", F.min("grp").over(whole)).withColumn("hi", F.max("grp").over(whole)).filter("lo < hi").drop("lo", "hi")
-        if groups is None:
-            # To begin with, each row's least set stands for it: most sets that it links to become one group at once.
-            rows = rows.withColumn("lead", F.min("set_id").over(whole)).withColumn("n", F.lit(FEW + 1))
-        else:
-            mine = Window.partitionBy("token", "grp")
-            rows = rows.withColumn("n", F.count("*").over(whole)).withColumn("of_grp", F.count("*").over(mine))
-            rows = rows.withColumn("lead", F.min(F.struct("of_grp", "grp", "set_id")).over(whole)["set_id"])
-        rows = cut(rows.select("token", "set_id", "grp", "lead", "n"))
-        if rows.isEmpty():
-            break
-        lead = rows.filter("set_id = lead").select("token", F.col("grp").alias("lead_grp"))
-        one = rows.filter(f"n > {FEW}").join(lead, "token").filter("grp <> lead_grp").select(F.least("set_id", "lead").alias("a"), F.greatest("set_id", "lead").alias("b"))
-        few = rows.filter(f"n <= {FEW}").select("token", "set_id", "grp")
-        pairs = few.alias("p").join(few.alias("q"), (F.col("p.token") == F.col("q.token")) & (F.col("p.set_id") < F.col("q.set_id")) & (F.col("p.grp") != F.col("q.grp")))
-        pairs = one.unionByName(pairs.select(F.col("p.set_id").alias("a"), F.col("q.set_id").alias("b"))).distinct()
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        found = cut(opened(pairs))
-        compared = pairs if compared is None else compared.unionByName(pairs)
-        if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            groups = components(links)
-        live = rows.filter(f"n > {FEW} and set_id <> lead").select("token", "set_id")
-        if groups is None:
-            groups = components(pairs.limit(0))
-    if groups is not None:
-        digest = digest.join(groups.withColumnRenamed("vertex", "set_id"), "set_id", "left")
-    else:
-        digest = digest.withColumn("root", F.lit(None).cast("long"))
+            at = list(zip(batch.column("grp").to_pylist(), batch.column("chunk").to_pylist(), strict=True))
+            roles, names, blobs = batch.column("role").to_pylist(), batch.column("set_id").to_pylist(), batch.column("elements")
+            for i, key in enumerate(at):
+                if group is None or group.key != key:
+                    group = _Group(key, num, den)
+                s = np.frombuffer(blobs[i].as_buffer(), np.uint64)
+                if roles[i] == 0:
+                    group.add(names[i], s.copy())
+                else:
+                    for other in group.linked(s):
+                        links.join(names[i], other)
+            if len(links.new) > 10_000:
+                yield links.batch()
+        if links.new:
+            yield links.batch()
+
+    dealt = work.join(elements, "set_id").repartition("grp", "chunk").sortWithinPartitions("grp", "chunk", "role", "set_id")
+    found = cut(dealt.mapInArrow(opened, "a long, b long"))
+    digest = digest.join(components(found).withColumnRenamed("vertex", "set_id"), "set_id", "left")
     digest = digest.withColumn("root", F.coalesce("root", "set_id"))
     least = digest.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return digest.join(least, "root", "left").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+class _Group:
+    """The members of an opened group, and an inverted index of their elements once there are queries enough."""
+
+    def __init__(self, key, num: int, den: int):
+        self.key, self.num, self.den = key, num, den
+        self.names: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.index = None
+
+    def add(self, name: int, s: np.ndarray) -> None:
+        self.names.append(name)
+        self.sets.append(s)
+
+    def linked(self, s: np.ndarray) -> list[int]:
+        """The members that link to s."""
+        if len(self.sets) <= 4:
+            both = []
+            for x in self.sets:
+                i = np.searchsorted(x, s)
+                both.append(int((x[np.minimum(i, len(x) - 1)] == s).sum()))
+            both, sizes = np.array(both), np.array([len(x) for x in self.sets])
+        else:
+            if self.index is None:
+                sizes = np.array([len(x) for x in self.sets])
+                joined = np.concatenate(self.sets)
+                order = np.argsort(joined, kind="stable")
+                self.index = (joined[order], np.repeat(np.arange(len(sizes)), sizes)[order], sizes)
+            joined, owners, sizes = self.index
+            lo, hi = np.searchsorted(joined, s, "left"), np.searchsorted(joined, s, "right")
+            both = np.zeros(len(sizes), np.int64)
+            many = hi - lo
+            ends = np.cumsum(many)
+            cuts = [0, *np.searchsorted(ends, np.arange(AT_ONCE, int(ends[-1]) + AT_ONCE, AT_ONCE)).tolist(), len(s)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                n = many[a:b]
+                if n.sum():
+                    both += np.bincount(owners[np.arange(n.sum()) + np.repeat(lo[a:b] - np.cumsum(n) + n, n)], minlength=len(sizes))
+        hit = np.flatnonzero(self.den * both >= self.num * (len(s) + sizes - both))
+        return [self.names[i] for i in hit.tolist()]
+
+
+class _Links:
+    """Links of a task; one that joins what others have joined is left out."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+        self.new: list[tuple[int, int]] = []
+
+    def _root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
+
+    def join(self, a: int, b: int) -> None:
+        x, y = self._root(a), self._root(b)
+        if x != y:
+            self.up[x] = y
+            self.new.append((a, b))
+
+    def batch(self):
+        import pyarrow as pa
+
+        out = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*self.new, strict=True)], ["a", "b"])
+        self.new = []
+        if len(self.up) > 1 << 20:
+            self.up.clear()
+        return out
