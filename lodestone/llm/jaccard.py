@@ -39,7 +39,7 @@ class Parts:
             d = hi * (den - num) // num
             self.lo.append(lo)
             self.differ.append(d)
-            self.parts.append(d + 1 + max(2, d // 16) if d else 0)
+            self.parts.append(d + 1 + max(2, d // 8) if d else 0)
             lo = hi + 1
         self.num, self.den = num, den
         self.bounds: dict[int, np.ndarray] = {}
@@ -49,18 +49,19 @@ class Parts:
             self.bounds[m] = np.array([(j << 64) // m for j in range(1, m)], np.uint64)
         return self.bounds[m]
 
-    def keys(self, s: np.ndarray) -> tuple[np.ndarray, int]:
-        """The tokens of s (sorted hashes), and how many of them any set that links to it shares at least.
+    def keys(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of s (sorted hashes), and with each how many of its level any set that links there shares at least.
 
         Level c serves pairs whose smaller set has a size of class c; the other is of it or the next class.
         """
         n = len(s)
         c = int(np.searchsorted(self.lo, n, "right")) - 1
-        out, need = [], 1 << 30
+        out, needs = [], []
         for level in (c, c - 1):
             if level < 0 or not self.parts[level] or (level < c and (self.lo[c] - 1) * self.den < self.num * n):
                 continue
-            m, differ = self.parts[level], self.differ[level]
+            # The smaller of two linked sets is no larger than s, and of this level's class at most.
+            m, differ = self.parts[level], min(self.differ[level], n * (self.den - self.num) // self.num)
             cuts = np.concatenate([[0], np.searchsorted(s, self._bounds(m)), [n]])
             sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(s), dtype=np.uint64)])
             count = np.diff(cuts)
@@ -69,8 +70,8 @@ class Parts:
             # Equal parts may all be empty ones only if there are as many of those as parts that must be equal.
             empty = int((count == 0).sum())
             out.append(key if empty >= m - differ else key[count > 0])
-            need = min(need, max(1, m - differ - empty))
-        return (np.concatenate(out) if out else np.empty(0, np.uint64)), need
+            needs.append(np.full(len(out[-1]), min(max(1, m - differ - empty), 30_000), np.int16))
+        return (np.concatenate(out), np.concatenate(needs)) if out else (np.empty(0, np.uint64), np.empty(0, np.int16))
 
 
 def _name(s: np.ndarray) -> int:
@@ -114,7 +115,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     key, need = parts.keys(s)
                     keys.append(key)
                     names.append(np.full(len(key), name, np.int64))
-                    needs.append(np.full(len(key), min(need, 127), np.int8))
+                    needs.append(need)
             if len(seen) > 1 << 18:
                 seen.clear()
             if names:
@@ -122,7 +123,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     digest = cut(base.mapInArrow(digests, "doc_id long, n_shingles long, set_id long"))
     whole = Window.partitionBy("token")
-    matrix = base.mapInArrow(tokens, "token long, set_id long, need byte")
+    matrix = base.mapInArrow(tokens, "token long, set_id long, need short")
     matrix = matrix.withColumn("lo", F.min("set_id").over(whole)).withColumn("hi", F.max("set_id").over(whole)).filter("lo < hi")
     matrix = cut(matrix.select("token", "set_id", "need").distinct())
 
@@ -134,15 +135,17 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     home = cut(home.join(crowd, "home").select("set_id", F.xxhash64("home", F.pmod(F.xxhash64("set_id"), F.col("blocks"))).alias("grp")))
     rows = cut(matrix.join(home, "set_id"))
     union = rows.select("token", F.col("grp").alias("of")).distinct()
-    # Of two groups, the one with the larger name asks the other; each asks itself.
-    shared = rows.join(union, "token").filter("grp >= of").groupBy("set_id", "of").agg(F.count("*").alias("n"), F.first("need").alias("need"))
-    asks = cut(shared.filter("n >= need").select("set_id", F.col("of").alias("grp")))
-    # A group that only its single member asks is done.
-    load = asks.groupBy("grp").agg(F.count("*").alias("n")).filter("n > 1").select("grp", F.ceil(F.col("n") / OPEN_QUERIES).alias("chunks"))
-    load = cut(load)
-    asked = asks.join(load, "grp").select("set_id", "grp", F.pmod(F.xxhash64("set_id"), F.col("chunks")).alias("chunk"), F.lit(1).alias("role"))
-    inside = home.join(load, "grp").select("set_id", "grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("role"))
-    work = cut(inside.unionByName(asked))
+    # Of two groups, the one with the larger name asks the other; each asks itself, its members being there.
+    shared = rows.join(union, "token").filter("grp > of").groupBy("set_id", "of", "need").agg(F.count("*").alias("n"))
+    asks = cut(shared.filter("n >= need").select("set_id", F.col("of").alias("grp")).distinct())
+    load = home.groupBy("grp").agg(F.count("*").alias("members"), F.lit(0).cast("long").alias("asks"))
+    load = load.unionByName(asks.groupBy("grp").agg(F.lit(0).cast("long").alias("members"), F.count("*").alias("asks")))
+    load = load.groupBy("grp").agg(F.sum("members").alias("members"), F.sum("asks").alias("asks")).filter("members + asks > 1")
+    load = cut(load.select("grp", F.greatest(F.lit(1), F.ceil(F.col("asks") / OPEN_QUERIES)).cast("long").alias("chunks")))
+    asked = asks.join(load, "grp").select("set_id", "grp", F.pmod(F.xxhash64("set_id"), F.col("chunks")).alias("chunk"), F.lit(2).alias("role"))
+    # Members go to every chunk, and ask the others in the first.
+    inside = home.join(load, "grp").select("set_id", "grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
+    work = cut(inside.withColumn("role", F.when(F.col("chunk") == 0, 0).otherwise(1)).unionByName(asked))
 
     wanted = digest.join(work.select("set_id").distinct(), "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
     wanted = cut(wanted.filter("doc_id is not null"))
@@ -161,15 +164,20 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             roles, names, blobs = batch.column("role").to_pylist(), batch.column("set_id").to_pylist(), batch.column("elements")
             for i, key in enumerate(at):
                 if group is None or group.key != key:
+                    if group is not None:
+                        group.settle(links)
                     group = _Group(key, num, den)
                 s = np.frombuffer(blobs[i].as_buffer(), np.uint64)
-                if roles[i] == 0:
-                    group.add(names[i], s.copy())
+                if roles[i] < 2:
+                    group.add(names[i], s.copy(), roles[i] == 0)
                 else:
+                    group.settle(links)
                     for other in group.linked(s):
                         links.join(names[i], other)
             if len(links.new) > 10_000:
                 yield links.batch()
+        if group is not None:
+            group.settle(links)
         if links.new:
             yield links.batch()
 
@@ -189,10 +197,20 @@ class _Group:
         self.names: list[int] = []
         self.sets: list[np.ndarray] = []
         self.index = None
+        self.settled = True
 
-    def add(self, name: int, s: np.ndarray) -> None:
+    def add(self, name: int, s: np.ndarray, asks: bool = False) -> None:
         self.names.append(name)
         self.sets.append(s)
+        self.settled = self.settled and not asks
+
+    def settle(self, links) -> None:
+        """The links of members among each other, once they are all here."""
+        if not self.settled:
+            self.settled = True
+            for name, s in zip(self.names, self.sets, strict=True):
+                for other in self.linked(s) if len(self.sets) > 1 else ():
+                    links.join(name, other)
 
     def linked(self, s: np.ndarray) -> list[int]:
         """The members that link to s."""
