@@ -124,19 +124,18 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     digest = cut(base.mapInArrow(digests, "doc_id long, n_shingles long, set_id long"))
     whole = Window.partitionBy("token")
     matrix = base.mapInArrow(tokens, "token long, set_id long, need short")
-    matrix = matrix.withColumn("lo", F.min("set_id").over(whole)).withColumn("hi", F.max("set_id").over(whole)).filter("lo < hi")
-    matrix = cut(matrix.select("token", "set_id", "need").distinct())
+    matrix = matrix.withColumn("lo", F.min("set_id").over(whole)).withColumn("hi", F.max("set_id").over(whole)).withColumn("n", F.count("*").over(whole)).filter("lo < hi")
+    matrix = cut(matrix.select("token", "set_id", "need", "n").distinct())
 
     # Groups: the sets of one most frequent token, in blocks.
-    often = matrix.groupBy("token").agg(F.count("*").alias("n"))
-    home = matrix.join(often, "token").groupBy("set_id").agg(F.max(F.struct("n", "token"))["token"].alias("home"))
-    home = cut(home)
+    home = cut(matrix.groupBy("set_id").agg(F.max(F.struct("n", "token"))["token"].alias("home")))
     crowd = home.groupBy("home").agg(F.ceil(F.count("*") / GROUP_SETS).alias("blocks"))
     home = cut(home.join(crowd, "home").select("set_id", F.xxhash64("home", F.pmod(F.xxhash64("set_id"), F.col("blocks"))).alias("grp")))
-    rows = cut(matrix.join(home, "set_id"))
-    union = rows.select("token", F.col("grp").alias("of")).distinct()
-    # Of two groups, the one with the larger name asks the other; each asks itself, its members being there.
-    shared = rows.join(union, "token").filter("grp > of").groupBy("set_id", "of", "need").agg(F.count("*").alias("n"))
+    home = cut(home.join(small(home.groupBy("grp").agg(F.count("*").alias("size")), 32), "grp"))
+    rows = cut(matrix.select("token", "set_id", "need").join(home, "set_id"))
+    union = rows.select("token", F.col("grp").alias("of"), F.col("size").alias("of_size")).distinct()
+    # Of two groups, the smaller asks the larger, so that the fringe of a family asks its core; each asks itself, its members being there.
+    shared = rows.join(union, "token").filter((F.col("size") < F.col("of_size")) | ((F.col("size") == F.col("of_size")) & (F.col("grp") > F.col("of")))).groupBy("set_id", "of", "need").agg(F.count("*").alias("n"))
     asks = cut(shared.filter("n >= need").select("set_id", F.col("of").alias("grp")).distinct())
     load = home.groupBy("grp").agg(F.count("*").alias("members"), F.lit(0).cast("long").alias("asks"))
     load = load.unionByName(asks.groupBy("grp").agg(F.lit(0).cast("long").alias("members"), F.count("*").alias("asks")))
@@ -144,18 +143,22 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     load = cut(load.select("grp", F.greatest(F.lit(1), F.ceil(F.col("asks") / OPEN_QUERIES)).cast("long").alias("chunks")))
     asked = asks.join(load, "grp").select("set_id", "grp", F.pmod(F.xxhash64("set_id"), F.col("chunks")).alias("chunk"), F.lit(2).alias("role"))
     # Members go to every chunk, and ask the others in the first.
-    inside = home.join(load, "grp").select("set_id", "grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
+    inside = home.drop("size").join(load, "grp").select("set_id", "grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
     work = cut(inside.withColumn("role", F.when(F.col("chunk") == 0, 0).otherwise(1)).unionByName(asked))
 
     wanted = digest.join(work.select("set_id").distinct(), "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
     wanted = cut(wanted.filter("doc_id is not null"))
 
     def contents(batches):
-        for part, sets in _sets(batches, k):
-            yield pa.RecordBatch.from_arrays([pa.array([_name(s) if len(s) else None for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_id", "elements"])
+        seen: set[int] = set()
+        for _, sets in _sets(batches, k):
+            # Rows of one id and text are sent once by a task; a set that several tasks send is a member twice, which changes nothing.
+            new = {name: s for s in sets if len(s) and (name := _name(s)) not in seen}
+            seen.update(new)
+            yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), pa.array([s.tobytes() for s in new.values()], pa.binary())], ["set_id", "elements"])
 
     text = base.join(small(wanted.select("doc_id"), 16), "doc_id", "left_semi").mapInArrow(contents, "set_id long, elements binary")
-    elements = cut(text.join(small(wanted.select("set_id"), 16), "set_id", "left_semi").dropDuplicates(["set_id"]))
+    elements = cut(text.join(small(wanted.select("set_id"), 16), "set_id", "left_semi"))
 
     def opened(batches):
         group, links = None, _Links()
@@ -181,7 +184,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if links.new:
             yield links.batch()
 
-    dealt = work.join(elements, "set_id").repartition("grp", "chunk").sortWithinPartitions("grp", "chunk", "role", "set_id")
+    dealt = elements.join(small(work, 48), "set_id").repartition("grp", "chunk").sortWithinPartitions("grp", "chunk", "role", "set_id")
     found = cut(dealt.mapInArrow(opened, "a long, b long"))
     digest = digest.join(components(found).withColumnRenamed("vertex", "set_id"), "set_id", "left")
     digest = digest.withColumn("root", F.coalesce("root", "set_id"))
