@@ -18,13 +18,13 @@ BLOCK_ROWS, GROUP_QUERIES = 8192, 2048
 
 
 class CollisionIndex:
-    """lines: random projections; share: of the lines in whose windows a vector must be; verify: share of the rows to verify at least.
+    """lines: random projections; share: of the lines in whose windows a vector must be; verify and least: share and number of the rows to verify at least.
 
     The defaults are for vectors with hardly any structure, whose nearest rows are not much nearer than the others.
     """
 
-    def __init__(self, rows: np.ndarray, lines: int = 64, share: float = 0.7, verify: float = 0.25, width: float = 0.9, seed: int = 5):
-        self.rows, self.share, self.verify = rows, share, verify
+    def __init__(self, rows: np.ndarray, lines: int = 64, share: float = 0.7, verify: float = 0.25, least: int = 1024, width: float = 0.9, seed: int = 5):
+        self.rows, self.share, self.verify, self.least = rows, share, verify, least
         norm2 = (rows * rows).sum(axis=1)
         self.most = float(norm2.max())
         rest = np.sqrt(np.maximum(self.most - norm2, 0))
@@ -40,7 +40,7 @@ class CollisionIndex:
         # A query's own norm doesn't rank rows; scaled to theirs it stands where its best rows are.
         scale = np.sqrt(self.most / np.maximum((queries * queries).sum(axis=1), 1e-300))
         centre = ((queries * scale[:, None]) @ self.axes[:-1]).T
-        need, enough = min(n, max(k, int(self.verify * n))), int(np.ceil(self.share * lines))
+        need, enough = min(n, max(k, self.least, int(self.verify * n))), int(np.ceil(self.share * lines))
         left = np.arange(len(queries))
         count = {}
         lo = hi = None
