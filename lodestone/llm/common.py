@@ -25,6 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIR.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="lodestone-"))
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Sends at most rows rows to Python at a time from now on: batches of whole texts are large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again, so that a lost executor never makes Spark replay what came before."""
     path = f"{shared_dir(df.sparkSession)}/lodestone/{uuid.uuid4().hex}"

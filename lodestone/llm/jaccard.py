@@ -19,12 +19,12 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_view, cut, mix, slices, small
+from .common import bounded_batches, byte_view, cut, mix, slices, small
 from .graph import components
 from .words import shingle_sets
 
 #: Sets of a group, about, and queries that one task opens a group for.
-GROUP_SETS, OPEN_QUERIES = 512, 4096
+GROUP_SETS, OPEN_QUERIES = 2048, 4096
 #: Elements of an inverted index that are looked at together.
 AT_ONCE = 1 << 21
 
@@ -96,6 +96,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     if not 2 * num >= den >= num > 0:
         raise ValueError("the threshold lies between a half and one")
+    bounded_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def digests(batches):

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 DIMENSIONS = 2048
 #: Bytes that part words: all of ASCII but a-z.
 _PART = np.arange(256, dtype=np.uint8)
@@ -106,6 +108,7 @@ def training_sample(docs: DataFrame, labelled: str, per_lang: int, id_col: str,
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", ambiguous_below: float = 0.2) -> DataFrame:
     """docs with lang_pred, score and ambiguous. A text that is null or has no letter is "und" with score 0, as is any if nothing was learned."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

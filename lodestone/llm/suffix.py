@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_view, cut, fetched, mix, randoms
+from .common import bounded_batches, byte_view, cut, fetched, mix, randoms
 
 WINDOW, DEPTH, CELL, GRAM = 192, 200, 16, 8
 #: Starts of a document that are worked on at a time.
@@ -118,6 +118,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     import pyarrow as pa
 
+    bounded_batches(docs.sparkSession)
     work = Suffixes(length)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
     whole_rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(f"`{c}`") for c in carry]).withColumn("row", F.xxhash64("doc_id", "text"))

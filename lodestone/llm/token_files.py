@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import bounded_batches, shared_dir
 from .tokens import END_ID, encoder
 
 SKIPPABLE, SEEK_MAGIC = 0x184D2A5E, 0x8F92EAB1
@@ -160,6 +160,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str
             sink.close()
             yield _batch({"part": [task.partitionId()], "path": [name], "docs": [n_docs], "ids": [n_ids], "bytes": [writer.bytes]}, "part: int, path: string, docs: long, ids: long, bytes: long")
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
     return [r.asDict() for r in sorted(rows.mapInArrow(write, "part int, path string, docs long, ids long, bytes long").collect())]
