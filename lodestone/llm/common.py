@@ -88,7 +88,21 @@ def byte_view(column) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def slices(batch, name: str, most: int = 2 << 20):
+def lean(batches):
+    """batches; before each, what earlier work of this Python process left free goes back to the system, as workers are kept from stage to stage."""
+    import ctypes
+
+    import pyarrow as pa
+
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    for batch in batches:
+        pa.default_memory_pool().release_unused()
+        if trim:
+            trim(0)
+        yield batch
+
+
+def slices(batch, name: str, most: int = 1 << 19):
     """The batch cut into runs of rows whose texts hold about most bytes, so that working arrays stay small."""
     _, offsets = byte_view(batch.column(name))
     i, n = 0, batch.num_rows

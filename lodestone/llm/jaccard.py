@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, byte_view, cut, mix, slices, small
+from .common import bounded_batches, byte_view, cut, lean, mix, slices, small
 from .graph import components
 from .words import shingle_sets
 
@@ -80,7 +80,7 @@ def _name(s: np.ndarray) -> int:
 
 
 def _sets(batches, k: int):
-    for batch in batches:
+    for batch in lean(batches):
         for part in slices(batch, "text"):
             yield part, shingle_sets(*byte_view(part.column("text")), k)
 
@@ -163,7 +163,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def opened(batches):
         group, links = None, _Links()
-        for batch in batches:
+        for batch in lean(batches):
             at = list(zip(batch.column("grp").to_pylist(), batch.column("chunk").to_pylist(), strict=True))
             roles, names, blobs = batch.column("role").to_pylist(), batch.column("set_id").to_pylist(), batch.column("elements")
             for i, key in enumerate(at):

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut
+from .common import bounded_batches, cut, lean
 from .tokens import END_ID, encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part long, ids binary"
@@ -92,7 +92,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
         part = TaskContext.get().partitionId()
         packer, made = Packer(size, windows), 0
-        for batch in batches:
+        for batch in lean(batches):
             encode, keys = encoder(tokenizer), batch.column(0).to_pylist()
             for at in range(0, len(keys), 1000):
                 done: list[list] = []

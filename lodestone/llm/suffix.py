@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, byte_view, cut, fetched, mix, randoms
+from .common import bounded_batches, byte_view, cut, fetched, lean, mix, randoms
 
 WINDOW, DEPTH, CELL, GRAM = 192, 200, 16, 8
 #: Starts of a document that are worked on at a time.
@@ -126,7 +126,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     long_enough = base.filter(F.octet_length("text") >= length)
 
     def find_buckets(batches):
-        for batch in batches:
+        for batch in lean(batches):
             data, offsets = byte_view(batch.column("text"))
             held = [bucket for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True) for *_, bucket, _ in work.runs(data[lo:hi], whole=False)]
             if held:
@@ -134,7 +134,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def find_runs(batches):
         names = ["bucket", "text", "row", "anchor", "first", "last"]
-        for batch in batches:
+        for batch in lean(batches):
             keys, (data, offsets) = batch.column("row").to_numpy(zero_copy_only=False), byte_view(batch.column("text"))
             held, n = [], 0
             for key, lo, hi in zip(keys.tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
@@ -161,7 +161,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def find_cells(batches):
         names = ["k1", "k2", "row", "base", "far", "near", "before", "after", "weight"]
-        for batch in batches:
+        for batch in lean(batches):
             data, offsets = byte_view(batch.column("text"))
             keys, lists = batch.column("row").to_pylist(), batch.column("runs")
             flat, cuts = lists.flatten(), np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))])
@@ -204,7 +204,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shown = {"bytes": lambda raw: raw, "text": lambda raw: raw.decode("utf-8", "ignore"), "none": lambda raw: None}[keep]
 
     def remove(batches):
-        for batch in batches:
+        for batch in lean(batches):
             data, offsets = byte_view(batch.column("text"))
             out: list[list] = [[], [], [], [], []]
             for i, s in enumerate(batch.column("spans").to_pylist()):

@@ -14,8 +14,8 @@ from functools import lru_cache
 import numpy as np
 
 END_ID = 2
-#: Texts whose new pieces are looked up together.
-GROUP = 1000
+#: Characters of the texts whose new pieces are looked up together, about; a bound on memory.
+GROUP = 1 << 18
 
 #: Texts of these characters only are normalised by lower-casing alone and have the pieces that PIECES finds.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
@@ -31,10 +31,24 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _groups(rows: list[int], texts: list[str | None]):
+    """rows in runs whose texts have GROUP characters in all, or one text that has more."""
+    part, n = [], 0
+    for i in rows:
+        size = len(texts[i] or "")
+        if part and n + size > GROUP:
+            yield part
+            part, n = [], 0
+        part.append(i)
+        n += size
+    if part:
+        yield part
+
+
 class PieceEncoder:
     """Ids, and on request character spans, of whole texts. keep: distinct pieces remembered, a bound on memory."""
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -77,8 +91,7 @@ class PieceEncoder:
         plain, odd = [], []
         for i, x in enumerate(texts):
             (plain if PLAIN.fullmatch(x or "") and "<|" not in (x or "") else odd).append(i)
-        for at in range(0, len(plain), GROUP):
-            part = plain[at : at + GROUP]
+        for part in _groups(plain, texts):
             pieces = [PIECES.findall((texts[i] or "").lower()) for i in part]
             get = self._lookup(self.known, pieces, False).__getitem__
             for i, words in zip(part, pieces, strict=True):
@@ -95,8 +108,7 @@ class PieceEncoder:
         plain, odd = [], []
         for i, x in enumerate(texts):
             (plain if PLAIN.fullmatch(x or "") and "<|" not in (x or "") else odd).append(i)
-        for at in range(0, len(plain), GROUP):
-            part = plain[at : at + GROUP]
+        for part in _groups(plain, texts):
             pieces = [PIECES_AND_SPACE.findall((texts[i] or "").lower()) for i in part]
             get = self._lookup(self.spans, pieces, True).__getitem__
             for i, words in zip(part, pieces, strict=True):
