@@ -175,11 +175,14 @@ def geometry_metrics(t):
     return z.select("id", r6(geo.area(F.col("g"))).alias("area"), r6(geo.length(F.col("g"))).alias("length"), F.size(geo.vertices(F.col("g"))).alias("vertices"))
 
 
-@query("WITH a AS (SELECT l_orderkey, l_linenumber, l_partkey % 50 AS route, l_suppkey % 20 * 1.0 AS lo, l_suppkey % 20 + l_quantity / 10 AS hi FROM lineitem WHERE l_orderkey % 20 = 0) SELECT count(*) AS pairs, round(sum(least(x.hi, y.hi) - greatest(x.lo, y.lo)), 4) AS overlap FROM a x JOIN a y ON x.route = y.route AND x.lo < y.hi AND y.lo < x.hi")
+@query("WITH a AS (SELECT l_orderkey, l_linenumber, l_partkey % 50 AS route, l_suppkey % 20 * 1.0 AS lo, l_suppkey % 20 + l_quantity / 10 AS hi FROM lineitem) SELECT count(*) AS pairs, round(sum(least(x.hi, y.hi) - greatest(x.lo, y.lo)), 4) AS overlap FROM a x JOIN a y ON x.route = y.route AND x.lo < y.hi AND y.lo < x.hi")
 def overlay_route_events(t):
-    a = t.lineitem.filter("l_orderkey % 20 = 0").select((F.col("l_partkey") % 50).alias("route"), (F.col("l_suppkey") % 20).cast("double").alias("lo"), (F.col("l_suppkey") % 20 + F.col("l_quantity") / 10).alias("hi"))
-    pairs = spatial.interval_join(a, a, "route", "lo", "hi", 5.0)
-    return pairs.agg(F.count("*").alias("pairs"), F.round(F.sum(F.least("hi", "hi_right") - F.greatest("lo", "lo_right")), 4).alias("overlap"))
+    """Equal intervals of a route are joined once, with how many rows each stands for."""
+    a = t.lineitem.select((F.col("l_partkey") % 50).alias("route"), (F.col("l_suppkey") % 20).cast("double").alias("lo"), (F.col("l_suppkey") % 20 + F.col("l_quantity") / 10).alias("hi"))
+    a = a.groupBy("route", "lo", "hi").agg(F.count("*").alias("n"))
+    pairs = spatial.interval_join(a, a, "route", "lo", "hi", 5.0).withColumn("n", F.col("n") * F.col("n_right"))
+    shared = F.least("hi", "hi_right") - F.greatest("lo", "lo_right")
+    return pairs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"), F.round(F.sum(F.col("n") * shared), 4).alias("overlap"))
 
 
 # Equations.
