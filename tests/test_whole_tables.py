@@ -32,3 +32,41 @@ def test_overlay_route_events(spark):
     [got] = result(spark, "overlay_route_events")
     assert got.pairs == pairs
     assert got.overlap == pytest.approx(overlap, abs=0.01)
+
+
+def test_temporal_join_nearest(spark):
+    users = collections.defaultdict(list)
+    for r in table(spark, "events").selectExpr("event_id", "user_id", "unix_micros(cast(ts as timestamp)) AS at").collect():
+        users[r.user_id].append((r.at, r.event_id))
+    want = {}
+    for rows in users.values():
+        for at, i in rows:
+            near = [(abs(at - at2), j) for at2, j in rows if i % 2 == 0 and j % 2 == 1 and abs(at - at2) <= 21600 * 10**6]
+            if near:
+                want[i] = min(near)[1]
+    got = result(spark, "temporal_join_nearest")
+    assert {r.event_id: r.event_id_right for r in got} == want
+    assert len(got) == len(want)
+
+
+def test_reliability_indices(spark):
+    rows = [(r.user_id + 1.0, abs(r.value) / 10) for r in table(spark, "events").collect()]
+    impacted, hours = sum(i for i, _ in rows), sum(i * h for i, h in rows)
+    [got] = result(spark, "reliability_indices")
+    assert tuple(got) == (pytest.approx(impacted / 1000), pytest.approx(hours / 1000, abs=1e-4), pytest.approx(hours / impacted, abs=1e-6))
+
+
+def test_joins_take_every_row(spark):
+    orders, customers = table(spark, "orders").collect(), table(spark, "customer").collect()
+    some = {r.o_custkey for r in orders}
+    want = [(r.o_custkey, r.o_orderkey, "both") for r in orders] + [(r.c_custkey, None, "left_only") for r in customers if r.c_custkey not in some]
+    got = result(spark, "merge_left_indicator")
+    assert sorted(map(repr, ((r.c_custkey, r.o_orderkey, r._merge) for r in got))) == sorted(map(repr, want))
+    # A quarter of the customers meet the null keys of nations, those of BUILDING the others.
+    want = [(c.c_custkey, n) for c in customers for n in range(25) if (n % 6 == 0 if c.c_custkey % 4 == 0 else n % 6 and c.c_mktsegment == "BUILDING")]
+    assert sorted((r.c_custkey, r.n_nationkey) for r in result(spark, "join_nullsafe")) == sorted(want)
+
+
+def test_explode_parts(spark):
+    want = [(r.vec_id, i, float(v)) for r in table(spark, "embeddings").collect() for i, v in enumerate(r.embedding)]
+    assert sorted(tuple(r) for r in result(spark, "explode_parts")) == sorted(want)
