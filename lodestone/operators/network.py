@@ -1,4 +1,4 @@
-"""Graphs as edge tables (src, dst, cost): shortest costs by rounds of relaxation, service areas, components, centralities."""
+"""Graphs as edge tables (src, dst, cost): shortest costs by rounds of relaxation, service areas, degrees, reliability indices."""
 
 from __future__ import annotations
 
@@ -10,20 +10,35 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *[c for c in edges.columns if c not in ("src", "dst")]))
 
 
-def shortest_costs(edges: DataFrame, origins: DataFrame, rounds: int, most: float | None = None) -> DataFrame:
-    """origin, node, cost of every node reached in so many hops at most. Each round relaxes all edges of the last round's improvements.
+#: Rounds of relaxation between two writes of the state.
+ROUNDS = 4
 
-    A checkpointed state keeps plans short; rounds bounds them as the graph's hop diameter would.
+
+def _written(df: DataFrame) -> DataFrame:
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def shortest_costs(edges: DataFrame, origins: DataFrame, most: float | None = None) -> DataFrame:
+    """origin, node, cost of every node that can be reached, at a cost of most or less; there is no limit of hops.
+
+    Nodes whose cost improved are relaxed for a few rounds, then the state is written; it ends when none improves. Costs are
+    0 at least, as otherwise that might never be. Edges without a cost lead nowhere.
     """
-    state = origins.select(F.col("node").alias("origin"), "node", F.lit(0.0).alias("cost"))
-    for i in range(rounds):
-        out = edges.select(F.col("src").alias("node"), F.col("dst").alias("_to"), F.col("cost").alias("_more"))
-        step = state.join(out, "node").select("origin", F.col("_to").alias("node"), (F.col("cost") + F.col("_more")).alias("cost"))
-        if most is not None:
-            step = step.filter(F.col("cost") <= most)
-        state = state.unionByName(step).groupBy("origin", "node").agg(F.min("cost").alias("cost"))
-        if i % 4 == 3 and edges.sparkSession.sparkContext.getCheckpointDir():
-            state = state.checkpoint()
+    out = _written(edges.filter("cost is not null").select(F.col("src").alias("node"), F.col("dst").alias("_to"), F.col("cost").cast("double").alias("_more")))
+    if not out.filter("_more < 0").isEmpty():
+        raise ValueError("an edge costs less than 0")
+    state = _written(origins.select(F.col("node").alias("origin"), "node", F.lit(0.0).alias("cost")).distinct())
+    last = state
+    while not last.isEmpty():
+        tried = state.withColumn("_old", F.col("cost"))
+        for _ in range(ROUNDS):
+            last = last.join(out, "node").select("origin", F.col("_to").alias("node"), (F.col("cost") + F.col("_more")).alias("cost"))
+            if most is not None:
+                last = last.filter(F.col("cost") <= most)
+            last = last.groupBy("origin", "node").agg(F.min("cost").alias("cost"))
+            tried = tried.unionByName(last, allowMissingColumns=True)
+        tried = _written(tried.groupBy("origin", "node").agg(F.min("cost").alias("cost"), F.min("_old").alias("_old")))
+        state, last = tried.drop("_old"), tried.filter("_old is null or cost < _old").drop("_old")
     return state
 
 

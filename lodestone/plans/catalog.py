@@ -527,14 +527,14 @@ def equal_interval(t):
 # Networks.
 
 
-@query(f"WITH RECURSIVE {GRID}, s(node, cost, hops) AS (SELECT 0::BIGINT, 0.0::DOUBLE, 0 UNION SELECT e.dst, s.cost + e.cost, s.hops + 1 FROM s JOIN e ON s.node = e.src WHERE s.hops < 8) SELECT 0::BIGINT AS origin, node, min(cost) AS cost FROM s GROUP BY 2")
+@query(f"WITH RECURSIVE {GRID}, s(node, cost) AS (SELECT 0::BIGINT, 0.0::DOUBLE UNION SELECT e.dst, s.cost + e.cost FROM s JOIN e ON s.node = e.src) SELECT 0::BIGINT AS origin, node, min(cost) AS cost FROM s GROUP BY 2")
 def od_cost_matrix(t):
-    return network.shortest_costs(t.grid(), t.spark.range(1).select(F.col("id").alias("node")), 8)
+    return network.shortest_costs(t.grid(), t.spark.range(1).select(F.col("id").alias("node")))
 
 
 @query(f"WITH RECURSIVE {GRID}, s(node, cost) AS (SELECT 0::BIGINT, 0.0::DOUBLE UNION SELECT e.dst, s.cost + e.cost FROM s JOIN e ON s.node = e.src WHERE s.cost + e.cost <= 10) SELECT node, min(cost) AS cost FROM s GROUP BY 1")
 def service_area(t):
-    return network.shortest_costs(t.grid(), t.spark.range(1).select(F.col("id").alias("node")), 10, 10.0).select("node", "cost")
+    return network.shortest_costs(t.grid(), t.spark.range(1).select(F.col("id").alias("node")), 10.0).select("node", "cost")
 
 
 @query(f"WITH {GRID} SELECT node, count(*) AS degree, sum(cost) AS total_cost FROM (SELECT src AS node, cost FROM e UNION ALL SELECT dst, cost FROM e) GROUP BY 1")

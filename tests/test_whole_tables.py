@@ -1,9 +1,13 @@
 """Queries against plain loops over the whole of the small tables, so that a cut that a query and its SQL share is seen."""
 
 import collections
+import heapq
 
 import oracle
 import pytest
+from pyspark.sql import functions as F
+
+from lodestone.operators import network
 from lodestone.plans import catalog
 
 FOLDER = f"{oracle.DATA}/sf0.001"
@@ -70,3 +74,36 @@ def test_joins_take_every_row(spark):
 def test_explode_parts(spark):
     want = [(r.vec_id, i, float(v)) for r in table(spark, "embeddings").collect() for i, v in enumerate(r.embedding)]
     assert sorted(tuple(r) for r in result(spark, "explode_parts")) == sorted(want)
+
+
+def dijkstra(edges, origin):
+    out, cost, queue = collections.defaultdict(list), {}, [(0.0, origin)]
+    for a, b, c in edges:
+        out[a].append((b, c))
+    while queue:
+        c, node = heapq.heappop(queue)
+        if node not in cost:
+            cost[node] = c
+            for b, more in out[node]:
+                heapq.heappush(queue, (c + more, b))
+    return cost
+
+
+def test_od_cost_matrix(spark):
+    edges = [tuple(r) for r in catalog.Tables(spark, FOLDER).grid().collect()]
+    got = result(spark, "od_cost_matrix")
+    assert len(got) == 144
+    assert {r.node: r.cost for r in got} == dijkstra(edges, 0)
+
+
+def test_shortest_costs_without_a_limit_of_hops(spark):
+    # A chain of 30 hops is cheaper than the direct edge; it has a cycle of no cost, and a part that can't be reached.
+    edges = [(i, i + 1, 1.0) for i in range(30)] + [(0, 30, 31.0), (5, 6, 0.5), (6, 5, 0.0), (7, 7, 0.0), (40, 41, 1.0)]
+    df = spark.createDataFrame(edges, "src long, dst long, cost double")
+    origins = spark.createDataFrame([(0,), (6,), (6,)], "node long")
+    want = {(o, n): c for o in (0, 6) for n, c in dijkstra(edges, o).items()}
+    assert {(r.origin, r.node): r.cost for r in network.shortest_costs(df, origins).collect()} == want
+    near = network.shortest_costs(df, origins, 10.0).collect()
+    assert {(r.origin, r.node): r.cost for r in near} == {k: c for k, c in want.items() if c <= 10}
+    with pytest.raises(ValueError):
+        network.shortest_costs(df.withColumn("cost", -F.col("cost")), origins)
