@@ -1,6 +1,7 @@
 """The corpus pipeline: language, near duplicates, repeated passages, mix, packing.
 
 Each stage gets what the one before wrote and returns a DataFrame; all but the last return the columns of documents.
+Ids may be null or occur more than once: stages that decide on rows give them a key of their own first.
 """
 
 from __future__ import annotations
@@ -14,6 +15,11 @@ from lodestone.llm.common import cut, small
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of each row, written once so that it stays the same."""
+    return cut(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row_key")))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents of no language that was learned: a text that is null or has no letter."""
     found = langid.identify(docs.select(*COLUMNS), queries.lang_model(docs))
@@ -21,10 +27,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each group that links at a similarity of 0.8 over five-word shingles."""
-    found = cut(jaccard.jaccard_groups(docs, k=5, num=80, den=100))
-    gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(small(gone, 16), "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps one row of each group that links at a similarity of 0.8 over five-word shingles: that of least id, nulls last.
+
+    Rows of one id and different texts are in groups by their texts; repeated rows are in one. Rows without shingles all stay.
+    """
+    rows = _keyed(docs)
+    found = cut(jaccard.jaccard_groups(rows, id_col="row_key", k=5, num=80, den=100).select(F.col("doc_id").alias("row_key"), "component_id"))
+    many = cut(found.filter("component_id <> row_key").select("component_id").distinct())
+    linked = found.join(small(many, 16), "component_id", "left_semi")
+    linked = cut(rows.select("row_key", "doc_id").join(small(linked, 24), "row_key"))
+    first = linked.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))["row_key"].alias("row_key"))
+    gone = cut(linked.select("row_key").join(small(cut(first.select("row_key")), 16), "row_key", "left_anti"))
+    return rows.join(small(gone, 16), "row_key", "left_anti").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +49,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each document as often as its source's target weight asks, up to three times."""
-    copies = cut(mixing.mix_sources(docs).filter("copies > 0").select("doc_id", "copies"))
-    rows = docs.join(small(copies.groupBy("doc_id").agg(F.max("copies").alias("copies")), 32), "doc_id")
+    """Takes each row as often as its source's target weight asks, up to three times."""
+    rows = _keyed(docs)
+    copies = cut(mixing.mix_sources(rows, carry=("row_key",)).filter("copies > 0").select("row_key", "copies"))
+    rows = rows.join(small(copies, 32), "row_key")
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*COLUMNS)
 
 

@@ -58,22 +58,23 @@ def _pivot(items: Column, salt: int) -> Column:
     return F.aggregate(items, start, step)
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: float = 3.0) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: float = 3.0, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken for each row of docs.
 
     A size is the text's number of words, 0 if null. Sources by code point, null last, weigh 1, 2, 3 and so on again. copies is
     at most most, rounded up. Draws hash ids and sizes, so reruns agree. Rows of one id that are alike in source and size are
-    rounded as one with that many rows, and differ by a copy at most.
+    rounded as one with that many rows, and differ by a copy at most. carry: further columns that rows keep, under their own names.
     """
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(SPACE_RUNS)), F.lit(0)).cast("long").alias("size"),
+        *[F.col(f"`{c}`") for c in carry],
     )
     rows = cut(rows)
     goals = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("size")), most)).withColumnRenamed("size", "source_size")
     key = rows["source"].eqNullSafe(goals["source"])
-    rows = rows.join(small(goals, 64), key).select(rows["source"], "doc_id", "size", "source_size", "target")
+    rows = rows.join(small(goals, 64), key).select(rows["source"], "doc_id", "size", "source_size", "target", *[rows[c] for c in carry])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = rows.withColumn("base", F.floor(rate)).withColumn("p", F.when(F.col("size") > 0, rate - F.floor(rate)).otherwise(F.lit(0.0)))
     # Rows alike in all that counts are rounded as one: their copies in sum, then dealt out by rank.
@@ -105,19 +106,19 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drawn = done[0]
     for x in done[1:]:
         drawn = drawn.unionByName(x)
-    return _dealt(rows, cut(drawn))
+    return _dealt(rows, cut(drawn), carry)
 
 
-def _dealt(rows: DataFrame, drawn: DataFrame) -> DataFrame:
+def _dealt(rows: DataFrame, drawn: DataFrame, carry: tuple[str, ...]) -> DataFrame:
     """rows with their copies. A row that stands alone takes its draw; of n alike, the whole copies in sum go to the first of them."""
     extra = drawn.select(F.col("source").alias("s"), F.col("doc_id").alias("d"), F.col("size").alias("z"), "n", "extra")
     same = F.col("source").eqNullSafe(F.col("s")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("size") == F.col("z"))
     out = rows.join(extra, same, "left")
-    many = Window.partitionBy("source", "doc_id", "size").orderBy("source")
+    many = Window.partitionBy("source", "doc_id", "size").orderBy("source", *carry)
     out = out.withColumn("n", F.coalesce("n", F.lit(1)))
     alone = F.coalesce("extra", F.lit(0))
     return (
         out.withColumn("rank", F.row_number().over(many))
         .withColumn("copies", (F.col("base") + F.when(F.col("p") > 0, (F.col("rank") <= F.floor(F.count("*").over(Window.partitionBy("source", "doc_id", "size")) * F.col("p")) + alone).cast("int")).otherwise(F.lit(0))).cast("long"))
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *carry)
     )

@@ -326,3 +326,53 @@ def test_pipeline(spark):
     assert suffix.remove_repeats(once).filter("n_removed > 0").count() == 0
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER)
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 4096").count() == 0
+
+
+def pipeline_rows(spark, rows):
+    return spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+
+
+def test_pipeline_near_duplicates_decides_on_rows(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    words = lambda c: [f"{c}{i}" for i in range(200)]
+    text = lambda c, *changed: " ".join("new" if i in changed else w for i, w in enumerate(words(c)))
+    rows = [
+        (1, text("a")), (2, text("a", 100)), (2, text("b")),  # one row of id 2 is a near copy, the other alone
+        (3, text("c")), (3, text("c")), (3, text("c")),  # a row three times
+        (None, text("d")), (4, text("d", 50)), (None, text("e")), (None, text("e", 7)),  # null ids last, and alone
+        (5, text("f")), (None, text("g")), (6, None), (6, ""),
+    ]
+    got = corpus_pipeline.near_duplicates(spark, pipeline_rows(spark, [(*r, "s") for r in rows]), FOLDER)
+    assert got.columns == list(corpus_pipeline.COLUMNS)
+    got = [(r.doc_id, r.text) for r in got.collect()]
+    nulls = [r for r in got if r in rows[8:10]]
+    assert len(nulls) == 1
+    same([r for r in got if r not in nulls], [rows[0], rows[2], rows[3], rows[7], *rows[10:]])
+
+
+def test_pipeline_near_duplicates_of_the_awkward_table(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows = rows_of(awkward(spark))
+    got = rows_of(corpus_pipeline.near_duplicates(spark, pipeline_rows(spark, [(*r, "s") for r in rows]), FOLDER))
+    kept, want = [], []
+    # No chains here, so that a row goes if it links to one before it.
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        s = shingles(t, 5)
+        if not s or all(100 * len(s & x) < 80 * len(s | x) for x in kept):
+            kept += [s] if s else []
+            want.append((i, t))
+    same(got, want)
+
+
+def test_pipeline_mix_decides_on_rows(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(None, f"null {i}", "s") for i in range(5)] + [(1, "one two", "s"), (1, "other words here", "s"), (2, "two", None), (2, "two", None)]
+    # One weight for all, so each row is taken once.
+    got = corpus_pipeline.mix(spark, pipeline_rows(spark, [(i, t, "s") for i, t, _ in rows]), FOLDER)
+    same([(r.doc_id, r.text) for r in got.collect()], [r[:2] for r in rows])
+    docs = pipeline_rows(spark, [*rows, *[(10 + n, "w " * (1 + n % 5), f"s{n % 3}") for n in range(60)]])
+    want = collections.Counter()
+    for r in mixing.mix_sources(docs).collect():
+        want[r.doc_id, r.source, r.size] += r.copies
+    got = collections.Counter((r.doc_id, r.source, len(r.text.split())) for r in corpus_pipeline.mix(spark, docs, FOLDER).collect())
+    assert got == +want
