@@ -496,7 +496,7 @@ def standard_distance(t):
     return stats.standard_distance(t.points()).select(r6("standard_distance").alias("standard_distance"))
 
 
-@query(f"WITH {POINTS} SELECT a.id, round(sum(b.v / pow({DIST}, 2)) / sum(1 / pow({DIST}, 2)), 6) AS value FROM f a JOIN d b ON {DIST} <= 0.1 GROUP BY 1")
+@query(f"WITH {POINTS} SELECT a.id, round(sum(b.v / pow({DIST}, 2)) / sum(1 / pow({DIST}, 2)), 6) AS value FROM f a LEFT JOIN d b ON {DIST} <= 0.1 GROUP BY 1")
 def idw(t):
     return stats.idw(t.demand(), t.facilities(), 0.1).select("id", r6("value").alias("value"))
 

@@ -2,12 +2,13 @@
 
 import collections
 import heapq
+import math
 
 import oracle
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import network
+from lodestone.operators import network, stats
 from lodestone.plans import catalog
 
 FOLDER = f"{oracle.DATA}/sf0.001"
@@ -107,3 +108,18 @@ def test_shortest_costs_without_a_limit_of_hops(spark):
     assert {(r.origin, r.node): r.cost for r in near} == {k: c for k, c in want.items() if c <= 10}
     with pytest.raises(ValueError):
         network.shortest_costs(df.withColumn("cost", -F.col("cost")), origins)
+
+
+def test_idw_keeps_points_out_of_reach(spark):
+    known = spark.createDataFrame([(1, 0.0, 0.0, 2.0), (2, 1.0, 0.0, 6.0)], "id long, x double, y double, v double")
+    query = spark.createDataFrame([(10, 0.0, 0.0, 0.0), (11, 0.5, 0.0, 0.0), (12, 3.0, 0.0, 0.0)], "id long, x double, y double, v double")
+    values = lambda rows: {r.id: r.value for r in rows.collect()}
+    assert values(stats.idw(known, query, 0.6)) == {10: 2.0, 11: 4.0, 12: None}
+    assert values(stats.idw(known, query)) == {10: 2.0, 11: 4.0, 12: pytest.approx((2 / 9 + 6 / 4) / (1 / 9 + 1 / 4))}
+    assert values(stats.idw(known.limit(0), query)) == {10: None, 11: None, 12: None}
+    t = catalog.Tables(spark, FOLDER)
+    d, f = t.demand().collect(), t.facilities().collect()
+    alone = {a.id for a in d if all(math.dist((a.x, a.y), (b.x, b.y)) > 0.1 for b in f)}
+    got = values(stats.idw(t.facilities(), t.demand(), 0.1))
+    assert alone and len(got) == len(d)
+    assert {i for i, v in got.items() if v is None} == alone
