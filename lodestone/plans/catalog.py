@@ -208,16 +208,16 @@ def gravity_and_probability(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", F.round(eq.gravity(c("l_quantity"), c("l_extendedprice"), 1 + c("l_tax")), 4).alias("gravity"), F.round(eq.logistic(c("l_discount") * 10 - 0.5), 9).alias("probability"), r6(eq.corridor_strength(c("l_quantity"), c("l_extendedprice"), c("l_tax"))).alias("corridor"))
 
 
-@query(f"WITH {POINTS} SELECT a.id AS origin, b.id AS destination, round(a.v * b.v / pow(1 + {DIST}, 2), 6) AS interaction, round(((degrees(atan2(b.x - a.x, b.y - a.y)) % 360) + 360) % 360, 4) AS bearing FROM f a JOIN f b ON a.id <> b.id")
+@query(f"WITH {POINTS} SELECT a.id AS origin, b.id AS destination, round(a.v * b.v / pow(1 + {DIST}, 2), 6) AS interaction, round(((degrees(atan2(b.x - a.x, b.y - a.y)) % 360) + 360) % 360, 4) AS bearing FROM p a JOIN p b ON a.id <> b.id")
 def interaction_table(t):
-    a, b = t.facilities(), spatial.suffixed(t.facilities(), "b")
+    a, b = t.points(), spatial.suffixed(t.points(), "b")
     d = eq.euclidean(F.col("x"), F.col("y"), F.col("x_b"), F.col("y_b"))
     return a.join(b, F.col("id") != F.col("id_b")).select(F.col("id").alias("origin"), F.col("id_b").alias("destination"), r6(eq.interaction(F.col("v"), F.col("v_b"), d)).alias("interaction"), F.round(eq.bearing(F.col("x"), F.col("y"), F.col("x_b"), F.col("y_b")), 4).alias("bearing"))
 
 
-@query(f"WITH {POINTS} SELECT a.id, round(sum(b.v / pow(1 + {DIST} / 0.1, 2)), 6) AS pressure FROM f a JOIN f b ON a.id <> b.id GROUP BY 1")
+@query(f"WITH {POINTS} SELECT a.id, round(sum(b.v / pow(1 + {DIST} / 0.1, 2)), 6) AS pressure FROM p a JOIN p b ON a.id <> b.id GROUP BY 1")
 def neighborhood_pressure(t):
-    a, b = t.facilities(), spatial.suffixed(t.facilities(), "b")
+    a, b = t.points(), spatial.suffixed(t.points(), "b")
     d = eq.euclidean(F.col("x"), F.col("y"), F.col("x_b"), F.col("y_b"))
     return a.join(b, F.col("id") != F.col("id_b")).groupBy("id").agg(r6(F.sum(eq.influence(F.col("v_b"), d, 0.1))).alias("pressure"))
 
@@ -513,9 +513,9 @@ def two_step_fca(t):
     return stats.two_step_catchment(s, d, 0.08).select("id", r6("score").alias("score"))
 
 
-@query(f"WITH {POINTS}, q AS (SELECT a.id, b.id AS id_s, (b.v + 1) / pow(greatest({DIST}, 1e-9), 2) AS pull FROM d a, (SELECT * FROM f WHERE id % 100 = 0) b) SELECT id, id_s, round(pull / sum(pull) OVER (PARTITION BY id), 6) AS probability FROM q")
+@query(f"WITH {POINTS}, q AS (SELECT a.id, b.id AS id_s, (b.v + 1) / pow(greatest({DIST}, 1e-9), 2) AS pull FROM d a, f b) SELECT id, id_s, round(pull / sum(pull) OVER (PARTITION BY id), 6) AS probability FROM q")
 def huff_model(t):
-    stores = t.facilities().filter("id % 100 = 0").withColumn("size", F.col("v") + 1)
+    stores = t.facilities().withColumn("size", F.col("v") + 1)
     return stats.huff(stores, t.demand()).select("id", "id_s", r6("probability").alias("probability"))
 
 

@@ -123,3 +123,29 @@ def test_idw_keeps_points_out_of_reach(spark):
     got = values(stats.idw(t.facilities(), t.demand(), 0.1))
     assert alone and len(got) == len(d)
     assert {i for i, v in got.items() if v is None} == alone
+
+
+def test_huff_model_takes_every_facility(spark):
+    t = catalog.Tables(spark, FOLDER)
+    f, want = t.facilities().collect(), {}
+    for a in t.demand().collect():
+        pull = {b.id: (b.v + 1) / max(math.dist((a.x, a.y), (b.x, b.y)), 1e-9) ** 2 for b in f}
+        want |= {(a.id, i): p / sum(pull.values()) for i, p in pull.items()}
+    got = result(spark, "huff_model")
+    assert len(got) == len(want)
+    assert all(abs(r.probability - want[r.id, r.id_s]) < 2e-6 for r in got)
+
+
+def test_interactions_of_all_points(spark):
+    points = catalog.Tables(spark, FOLDER).points().collect()
+    apart = {(a.id, b.id): (a.v, b.v, math.dist((a.x, a.y), (b.x, b.y))) for a in points for b in points if a.id != b.id}
+    got = result(spark, "interaction_table")
+    assert len(got) == len(apart)
+    for r in got:
+        va, vb, d = apart[r.origin, r.destination]
+        assert abs(r.interaction - va * vb / (1 + d) ** 2) < 2e-6
+    want = collections.defaultdict(float)
+    for (i, _), (_, vb, d) in apart.items():
+        want[i] += vb / (1 + d / 0.1) ** 2
+    got = result(spark, "neighborhood_pressure")
+    assert {r.id: r.pressure for r in got} == pytest.approx(dict(want), abs=2e-6)
