@@ -148,7 +148,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     work = cut(inside.withColumn("role", F.when(F.col("chunk") == 0, 0).otherwise(1)).unionByName(asked))
 
     wanted = digest.join(work.select("set_id").distinct(), "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    wanted = cut(wanted.filter("doc_id is not null"))
+    # Null for a set that only rows without an id hold.
+    wanted = cut(wanted)
 
     def contents(batches):
         seen: set[int] = set()
@@ -158,7 +159,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             seen.update(new)
             yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), pa.array([s.tobytes() for s in new.values()], pa.binary())], ["set_id", "elements"])
 
-    text = base.join(small(wanted.select("doc_id"), 16), "doc_id", "left_semi").mapInArrow(contents, "set_id long, elements binary")
+    ids = small(wanted.select(F.col("doc_id").alias("holder")).distinct(), 16)
+    text = base.join(ids, base["doc_id"].eqNullSafe(ids["holder"]), "left_semi").mapInArrow(contents, "set_id long, elements binary")
     elements = cut(text.join(small(wanted.select("set_id"), 16), "set_id", "left_semi"))
 
     def opened(batches):

@@ -376,3 +376,16 @@ def test_pipeline_mix_decides_on_rows(spark):
         want[r.doc_id, r.source, r.size] += r.copies
     got = collections.Counter((r.doc_id, r.source, len(r.text.split())) for r in corpus_pipeline.mix(spark, docs, FOLDER).collect())
     assert got == +want
+
+
+def test_jaccard_links_through_rows_without_an_id(spark):
+    """Documents 1 and 2 link only through a row without an id; another such row links to 3, two more to each other."""
+    text = lambda c, *changed: " ".join("new" + str(i) if i in changed else f"{c}{i}" for i in range(200))
+    rows = [(1, text("a", 20, 60)), (None, text("a", 60)), (2, text("a", 60, 100, 140)), (3, text("b")), (None, text("b", 9)), (None, text("c")), (None, text("c", 9)), (4, text("d"))]
+    sets = [shingles(t, 4) for _, t in rows]
+    close = lambda x, y: 100 * len(x & y) >= 91 * len(x | y)
+    assert close(sets[0], sets[1]) and close(sets[1], sets[2]) and not close(sets[0], sets[2])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_groups(docs, num=91).collect()]
+    least = [1, 1, 1, 3, 3, None, None, 4]
+    same(got, [(i, len(s), c) for (i, _), s, c in zip(rows, sets, least, strict=True)])
