@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, cut, small
 
 DIMENSIONS = 2048
 #: Bytes that part words: all of ASCII but a-z.
@@ -24,6 +24,8 @@ _PART[:0x61] = 0x20
 _PART[0x7B:0x80] = 0x20
 #: Texts are counted in pieces of so many characters, all of them; a bound on memory.
 PIECE = 1 << 20
+#: Languages that may each give the driver a whole sample.
+FULL_LANGS = 200
 
 
 def features(text: str | None) -> np.ndarray | None:
@@ -64,7 +66,7 @@ def codewords(n: int, bits: int, seed: int = 7) -> np.ndarray:
     rng, best, far = np.random.default_rng(seed), None, -1.0
     for _ in range(200):
         code = np.where(np.argsort(rng.random((bits, n)), axis=1) < (n + 1) // 2, 1.0, -1.0).T * rng.choice([-1.0, 1.0], bits)
-        apart = min(float((code[i] != code[j]).mean()) for i in range(n) for j in range(i))
+        apart = float(((bits - code @ code.T) / 2)[np.tril_indices(n, -1)].min()) / bits
         if apart > far:
             best, far = code, apart
     return best
@@ -94,16 +96,22 @@ def fit(rows: list[tuple[str, str]], bits: int = 15, ridge: float = 0.05) -> Mod
 
 
 def training_sample(docs: DataFrame, labelled: str, per_lang: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """About per_lang labelled rows of each language, picked by a hash of their id; the bound on what reaches the driver."""
+    """About per_lang labelled rows of each language, picked by a hash of their id; the bound on what reaches the driver.
+
+    Past FULL_LANGS languages each gives fewer, so that the total stays what it is for so many, but one at least.
+    """
+    million = 1_000_000
     rows = docs.filter(labelled).filter(F.col(lang_col).isNotNull())
-    # A language's share is read from its count; languages past the 200 most frequent aren't learned.
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(200).collect()}
-    if not counts:
+    rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(F.lit("pick"), F.col(id_col)), F.lit(million)).alias("pick"))
+    # A language's share is read from its count; its row of least hash is always there.
+    counts = cut(rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("pick").alias("least")))
+    langs = counts.count()
+    if not langs:
         return []
-    million = 1_000_000
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(million, -(-per_lang * million // n)))])
-    picked = rows.filter(F.pmod(F.xxhash64(F.lit("pick"), F.col(id_col)), F.lit(million)) < share[F.col(lang_col)])
-    return [(r[0], r[1]) for r in picked.select(text_col, lang_col).limit(2 * per_lang * len(counts)).collect()]
+    per_lang = min(per_lang, max(1, FULL_LANGS * per_lang // langs))
+    share = counts.select(F.col("lang").alias("of"), F.greatest(F.ceil(F.lit(per_lang * million) / F.col("n")), F.col("least") + 1).alias("share"))
+    picked = rows.join(small(share, 64, langs), F.col("lang") == F.col("of")).filter("pick < share")
+    return [(r[0], r[1]) for r in picked.select("text", "lang").limit(2 * per_lang * langs).collect()]
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", ambiguous_below: float = 0.2) -> DataFrame:

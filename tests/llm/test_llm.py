@@ -389,3 +389,27 @@ def test_jaccard_links_through_rows_without_an_id(spark):
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_groups(docs, num=91).collect()]
     least = [1, 1, 1, 3, 3, None, None, 4]
     same(got, [(i, len(s), c) for (i, _), s, c in zip(rows, sets, least, strict=True)])
+
+
+def test_language_learns_every_label(spark):
+    """230 languages of 8 rows, where no more than 200 may give a whole sample, and one of a single row."""
+    rows = [(n * 8 + i, f"word{n} text{i}", f"l{n:03d}") for n in range(230) for i in range(8)] + [(5000, "rare", "zz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for per_lang in (1, 4):
+        sample = langid.training_sample(docs, "true", per_lang, "doc_id", "text", "lang")
+        assert {lang for _, lang in sample} == {r[2] for r in rows}
+        assert len(sample) <= 2 * 231 * per_lang
+    assert len(sample) <= 2 * langid.FULL_LANGS * 4
+    model = langid.fit(sample)
+    assert model.langs == sorted({r[2] for r in rows})
+
+
+def test_codewords_are_chosen_as_by_pairs():
+    for n, bits in ((4, 15), (23, 15)):
+        rng, far, best = np.random.default_rng(7), -1.0, None
+        for _ in range(200):
+            code = np.where(np.argsort(rng.random((bits, n)), axis=1) < (n + 1) // 2, 1.0, -1.0).T * rng.choice([-1.0, 1.0], bits)
+            apart = min(float((code[i] != code[j]).mean()) for i in range(n) for j in range(i))
+            if apart > far:
+                best, far = code, apart
+        assert (langid.codewords(n, bits) == best).all()
