@@ -57,6 +57,19 @@ def same(got, want):
     assert sorted(map(repr, got)) == sorted(map(repr, want))
 
 
+@pytest.mark.parametrize("keep", [5, 1000])
+def test_encoder_is_the_library(keep):
+    """Endings after apostrophes, digits, letters beyond ASCII, pieces longer than a key; with a full store too."""
+    rng = random.Random(5)
+    texts = ["''s 's're 'll've don't can'tx'rest it's'm 'd 'l \"'s (a'b) 're''re", "'", "'s", "a'", "ÄÖÜ ÀÉ ß\n\té", "1a2b!?", "x" * 100 + " " + "y" * 200 + "é", "", None, "naïve İ ok", "<|endoftext|> a"]
+    texts += ["".join(rng.choice("abé'sS 1.!\n") for _ in range(200)) for _ in range(50)]
+    e = tokens.PieceEncoder(tokens.default_path(), keep=keep)
+    for _ in range(2):
+        for t, ids, spans in zip(texts, e.ids(texts), e.char_spans(texts), strict=True):
+            want = e.lib.encode(t or "", add_special_tokens=False)
+            assert ids.tolist() == want.ids and [tuple(x) for x in spans.tolist()] == want.offsets
+
+
 def test_token_counts(docs):
     got = collections.defaultdict(list)
     for r in attribution.token_counts(docs, tokens.default_path(), most_chars=50).collect():
