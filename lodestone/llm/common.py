@@ -36,7 +36,17 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again, so that a lost executor never makes Spark replay what came before."""
     path = f"{shared_dir(df.sparkSession)}/lodestone/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Deletes the folders of DataFrames that cut() returned and that nothing reads any more."""
+    for df in written:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._cut_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
@@ -45,18 +55,15 @@ def small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n * row_bytes <= BROADCAST_BYTES else df
 
 
-def fetched(rows: DataFrame, found: DataFrame, key: str, row_bytes: int, rest: bool = False):
+def fetched(rows: DataFrame, found: DataFrame, key: list[str], rest: bool = False):
     """rows joined with found on key; with rest, also the rows whose key found doesn't hold, or None if a left join has them.
 
-    rows are wide and found holds few of their keys, mostly: found is broadcast if its counted rows take at most
-    BROADCAST_BYTES; else its keys are, if those do, so that only rows that it holds are shuffled; else all rows are.
+    rows are wide and found holds few of their keys, mostly: found's keys are broadcast if they take at most BROADCAST_BYTES,
+    so that only rows that it holds are shuffled; else all rows are.
     """
-    n = found.count()
-    keys = F.broadcast(found.select(key))
-    if n * row_bytes <= BROADCAST_BYTES:
-        return (rows.join(F.broadcast(found), key, "left"), None) if rest else rows.join(F.broadcast(found), key)
-    if n * 64 <= BROADCAST_BYTES * 4:
-        held = rows.join(keys, key, "left_semi").join(found, key)
+    if found.count() * 64 <= BROADCAST_BYTES:
+        keys = F.broadcast(found.select(*key))
+        held = rows.join(keys, key, "left_semi").join(found.hint("merge"), key)
         return (held, rows.join(keys, key, "left_anti")) if rest else held
     return (rows.join(found, key, "left"), None) if rest else rows.join(found, key)
 

@@ -62,7 +62,7 @@ def op8_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.remove_repeats(_docs(spark, sf_dir), keep="none").drop("kept")
+    return suffix.remove_repeats(_docs(spark, sf_dir), keep="text").withColumnRenamed("kept", "text")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -277,9 +277,10 @@ def test_line_rules(spark):
     assert r.n_failed_lines == 4 and r.kept and r.cleaned == good + "Another fine sentence with quite some words in it."
 
 
-def test_remove_repeats(docs):
+@pytest.mark.parametrize("n", [400, 250, 64])
+def test_remove_repeats(docs, n):
     rows = rows_of(docs)
-    raw, n = [(t or "").encode() for _, t in rows], 400
+    raw = [(t or "").encode() for _, t in rows]
     seen = collections.Counter(x[i : i + n] for x in raw for i in range(len(x) - n + 1))
     want = []
     for (i, _), x in zip(rows, raw, strict=True):
@@ -289,7 +290,29 @@ def test_remove_repeats(docs):
                 gone[j : j + n] = b"\1" * n
         kept = bytes(c for c, g in zip(x, gone, strict=True) if not g)
         want.append((i, len(x), sum(gone), len([s for s in bytes(gone).split(b"\0") if s]), hashlib.sha256(kept).hexdigest()))
-    same([tuple(r)[:5] for r in suffix.remove_repeats(docs).collect()], want)
+    same([tuple(r)[:5] for r in suffix.remove_repeats(docs, length=n).collect()], want)
+
+
+def test_buckets_of_equal_strings_are_equal_and_others_differ():
+    """The rounds against the strings themselves, at depths that double and that don't."""
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 99, 3000, dtype=np.uint8)
+    data[2000:2600] = data[100:700]
+    grams = suffix.Suffixes.grams(data)
+    for depth in (8, 9, 16, 23, 64, 130, 400):
+        at = np.arange(len(data) - depth)
+        ids = suffix.Suffixes.refined(grams, at, depth)
+        by = collections.defaultdict(set)
+        for i in at.tolist():
+            by[data[i : i + depth].tobytes()].add(int(ids[i]))
+        assert all(len(x) == 1 for x in by.values()) and len({next(iter(x)) for x in by.values()}) == len(by)
+
+
+def test_remove_repeats_carries_columns_that_clash(spark):
+    docs = spark.createDataFrame([(1, "a" * 500, 7, "x"), (2, None, 8, "y")], "doc_id long, text string, n_bytes int, row string")
+    got = suffix.remove_repeats(docs, carry=("n_bytes", "row", "text"))
+    assert got.columns[6:] == ["n_bytes_in", "row", "text"]
+    assert sorted((r.doc_id, r.n_removed, r.n_bytes_in, r.row) for r in got.collect()) == [(1, 500, 7, "x"), (2, 0, 8, "y")]
 
 
 def test_remove_repeats_by_shuffled_joins(spark, monkeypatch):
