@@ -120,13 +120,13 @@ def _keyed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("row", F.xxhash64("doc_id", "text")).withColumn("row2", F.xxhash64(F.lit("second"), "text", "doc_id"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, carry: tuple[str, ...] = (), keep: str = "bytes") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, carry: tuple[str, ...] = (), keep: str = "bytes", min_words: int = 0) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept for each row of docs.
 
     keep: kept holds the remaining "bytes", or them as "text" (a character that lost a part of its bytes goes whole), or "none".
 
     A byte goes if it lies in a string of length bytes (64 or more) that starts at another place of the input too; overlaps
-    count. carry: further columns that rows keep, under their own names; one named like a result gets "_in" behind it. Null
+    count. min_words: a run of such bytes stays if it has fewer words or parts of words (parted by [\\x20\\x09-\\x0D]). carry: further columns that rows keep, under their own names; one named like a result gets "_in" behind it. Null
     texts are empty, an empty table gives no rows. Equal and null ids stay rows of their own; repeated rows repeat each other.
     Texts may be of any length, CHUNK starts of them are worked on at a time. Strings and rows are told apart by 128 bits of hash.
     """
@@ -235,6 +235,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     np.add.at(edge, s.values.field("first").to_numpy(), 1)
                     np.add.at(edge, np.minimum(s.values.field("last").to_numpy() + length, len(text)), -1)
                     covered = np.cumsum(edge[:-1]) > 0
+                    if min_words:
+                        turns = np.flatnonzero(np.diff(covered, prepend=False, append=False))
+                        for lo, hi in zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True):
+                            if len(text[lo:hi].tobytes().split()) < min_words:
+                                covered[lo:hi] = False
                     gone = int(covered.sum())
                     n_spans = int(covered[0]) + int((covered[1:] & ~covered[:-1]).sum())
                     kept = text[~covered]

@@ -308,6 +308,13 @@ def test_buckets_of_equal_strings_are_equal_and_others_differ():
         assert all(len(x) == 1 for x in by.values()) and len({next(iter(x)) for x in by.values()}) == len(by)
 
 
+def test_remove_repeats_of_so_many_words(spark):
+    long, short = " ".join(f"w{i}" for i in range(51)), " ".join(f"quitelongword{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, f"a {long} b"), (2, f"c {long} d {short} e"), (3, f"f {short} g")], "doc_id long, text string")
+    got = {r.doc_id: r.kept for r in suffix.remove_repeats(docs, length=100, keep="text", min_words=51).collect()}
+    assert got == {1: "ab", 2: f"cd {short} e", 3: f"f {short} g"}
+
+
 def test_remove_repeats_carries_columns_that_clash(spark):
     docs = spark.createDataFrame([(1, "a" * 500, 7, "x"), (2, None, 8, "y")], "doc_id long, text string, n_bytes int, row string")
     got = suffix.remove_repeats(docs, carry=("n_bytes", "row", "text"))
@@ -359,7 +366,7 @@ def test_pipeline(spark):
             assert docs.count() <= before
     # What repeated is gone, near copies too.
     once = docs.dropDuplicates(["doc_id"])
-    assert suffix.remove_repeats(once).filter("n_removed > 0").count() == 0
+    assert suffix.remove_repeats(once, min_words=51).filter("n_removed > 0").count() == 0
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER)
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 4096").count() == 0
 
