@@ -41,9 +41,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return rows.join(small(gone, 16), "row_key", "left_anti").select(*COLUMNS)
 
 
+#: A repeated passage: bytes that repeat as strings of so many at least (51 words of three letters have more), and words in a run of them.
+PASSAGE_BYTES, PASSAGE_WORDS = 200, 51
+
+
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts strings of 400 bytes that occur twice; a document that has nothing left goes."""
-    found = suffix.remove_repeats(docs, carry=("lang", "source"), keep="text").filter("n_bytes > n_removed")
+    """Cuts passages of more than 50 words that occur twice; a document that has nothing left goes. Repeated rows lose all, null texts go."""
+    found = suffix.remove_repeats(docs, length=PASSAGE_BYTES, carry=("lang", "source"), keep="text", min_words=PASSAGE_WORDS).filter("n_bytes > n_removed")
     rows = found.select("doc_id", F.col("kept").alias("text"), "lang", "source")
     return rows.filter(r"text rlike '[^\\x20\\x09-\\x0D]'").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
