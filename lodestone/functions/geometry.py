@@ -82,3 +82,450 @@ def geojson(g: Column) -> Column:
     pairs = F.transform(g["parts"][0], lambda p: F.array(p["x"], p["y"]))
     text = lambda c: F.to_json(F.struct(g["type"].alias("type"), c.alias("coordinates")))
     return F.when(g["type"] == "Point", text(pairs[0])).when(g["type"] == "LineString", text(pairs)).otherwise(text(F.array(pairs)))
+
+
+# Kinds, parts and maps of any geometry. Points are parts of one vertex, so a MultiPoint has a part for each.
+
+
+def kind(g: Column) -> Column:
+    return g["type"]
+
+
+def simple_kind(g: Column) -> Column:
+    """Point, LineString or Polygon, of multi-part geometries too."""
+    return F.regexp_replace(g["type"], "^Multi", "")
+
+
+def geometry(type_: str | Column, parts_: Column) -> Column:
+    return F.struct((F.lit(type_) if isinstance(type_, str) else type_).alias("type"), parts_.alias("parts"))
+
+
+def xy(x: Column, y: Column) -> Column:
+    return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+
+def line(*pairs: tuple[Column, Column]) -> Column:
+    return geometry("LineString", F.array(F.array(*[xy(*p) for p in pairs])))
+
+
+def polygon(*pairs: tuple[Column, Column]) -> Column:
+    """The ring is closed here."""
+    return geometry("Polygon", F.array(F.array(*[xy(*p) for p in (*pairs, pairs[0])])))
+
+
+def parts(g: Column) -> Column:
+    """Array of simple geometries."""
+    return F.transform(g["parts"], lambda p: geometry(simple_kind(g), F.array(p)))
+
+
+def closed(ring: Column) -> Column:
+    """A ring whose last vertex is its first."""
+    return F.when(F.element_at(ring, 1) == F.element_at(ring, -1), ring).otherwise(F.concat(ring, F.array(F.element_at(ring, 1))))
+
+
+def normalize(g: Column) -> Column:
+    """Polygons closed, others as they are."""
+    return F.when(simple_kind(g) == "Polygon", geometry(g["type"], F.transform(g["parts"], closed))).otherwise(g)
+
+
+def mapped(g: Column, f) -> Column:
+    """g with f(x, y) -> (x, y) on every vertex."""
+
+    def go(p: Column) -> Column:
+        x, y = f(p["x"], p["y"])
+        return xy(x, y)
+
+    return geometry(g["type"], F.transform(g["parts"], lambda r: F.transform(r, go)))
+
+
+def translated(g: Column, dx: float | Column, dy: float | Column) -> Column:
+    return mapped(g, lambda x, y: (x + dx, y + dy))
+
+
+def scaled(g: Column, sx: float, sy: float | None = None, origin: Column | None = None) -> Column:
+    """About origin, by default the centroid."""
+    o = centroid(g) if origin is None else origin
+    return mapped(g, lambda x, y: (o["x"] + (x - o["x"]) * sx, o["y"] + (y - o["y"]) * (sx if sy is None else sy)))
+
+
+def rotated(g: Column, degrees: float, origin: Column | None = None) -> Column:
+    """Counter-clockwise about origin, by default the centroid."""
+    o = centroid(g) if origin is None else origin
+    c, s = F.cos(F.radians(F.lit(float(degrees)))), F.sin(F.radians(F.lit(float(degrees))))
+    return mapped(g, lambda x, y: (o["x"] + (x - o["x"]) * c - (y - o["y"]) * s, o["y"] + (x - o["x"]) * s + (y - o["y"]) * c))
+
+
+def skewed(g: Column, x_degrees: float = 0.0, y_degrees: float = 0.0) -> Column:
+    tx, ty = F.tan(F.radians(F.lit(float(x_degrees)))), F.tan(F.radians(F.lit(float(y_degrees))))
+    return mapped(g, lambda x, y: (x + y * tx, y + x * ty))
+
+
+def affine(g: Column, a: float, b: float, d: float, e: float, dx: float = 0.0, dy: float = 0.0) -> Column:
+    return mapped(g, lambda x, y: (x * a + y * b + dx, x * d + y * e + dy))
+
+
+def swapped(g: Column) -> Column:
+    return mapped(g, lambda x, y: (y, x))
+
+
+def rounded(g: Column, digits: int) -> Column:
+    return mapped(g, lambda x, y: (F.round(x, digits), F.round(y, digits)))
+
+
+def snapped_to_grid(g: Column, size: float) -> Column:
+    return mapped(g, lambda x, y: (F.round(x / size) * size, F.round(y / size) * size))
+
+
+def reversed_vertices(g: Column) -> Column:
+    return geometry(g["type"], F.transform(g["parts"], F.reverse))
+
+
+# Measures.
+
+
+def centroid(g: Column) -> Column:
+    """A point's own place; a line's by length, a polygon's by area; the mean of the vertices where those are 0. Parts weigh by their measure."""
+
+    def one(p: Column) -> Column:
+        """(weight, x * weight, y * weight) of a part."""
+
+        def of_line(s: Column) -> Column:
+            n = F.sqrt(F.pow(s["a"]["x"] - s["b"]["x"], 2) + F.pow(s["a"]["y"] - s["b"]["y"], 2))
+            return F.struct(n.alias("w"), ((s["a"]["x"] + s["b"]["x"]) / 2 * n).alias("x"), ((s["a"]["y"] + s["b"]["y"]) / 2 * n).alias("y"))
+
+        def of_ring(s: Column) -> Column:
+            n = s["a"]["x"] * s["b"]["y"] - s["b"]["x"] * s["a"]["y"]
+            return F.struct((n * 3).alias("w"), ((s["a"]["x"] + s["b"]["x"]) * n).alias("x"), ((s["a"]["y"] + s["b"]["y"]) * n).alias("y"))
+
+        zero = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+        add = lambda m, v: F.struct((m["w"] + v["w"]).alias("w"), (m["x"] + v["x"]).alias("x"), (m["y"] + v["y"]).alias("y"))
+        # Worked out against the first vertex, so that places far from the origin lose no digits.
+        near = F.transform(p, lambda v: F.struct((v["x"] - p[0]["x"]).alias("x"), (v["y"] - p[0]["y"]).alias("y")))
+        ring = simple_kind(g) == "Polygon"
+        total = F.when(ring, F.aggregate(F.transform(_sides(near), of_ring), zero, add)).otherwise(F.aggregate(F.transform(_sides(near), of_line), zero, add))
+        mean = lambda k: _sum(F.transform(p, lambda v: v[k])) / F.size(p)
+        place = lambda k: F.when(total["w"] != 0, total[k] / total["w"] + p[0][k]).otherwise(mean(k))
+        weight = F.when(ring, F.abs(total["w"]) / 6).otherwise(total["w"])
+        return F.struct(weight.alias("w"), place("x").alias("x"), place("y").alias("y"))
+
+    each = F.transform(g["parts"], one)
+    weight = _sum(F.transform(each, lambda c: c["w"]))
+    by_weight = lambda k: _sum(F.transform(each, lambda c: c["w"] * c[k])) / weight
+    plain = lambda k: _sum(F.transform(vertices(g), lambda v: v[k])) / F.size(vertices(g))
+    place = lambda k: F.when(F.size(g["parts"]) == 1, each[0][k]).when(weight != 0, by_weight(k)).otherwise(plain(k))
+    return xy(place("x"), place("y"))
+
+
+def intersects_bounds(g: Column, min_x: Column, min_y: Column, max_x: Column, max_y: Column) -> Column:
+    b = bounds(g)
+    return (b["min_x"] <= max_x) & (b["max_x"] >= min_x) & (b["min_y"] <= max_y) & (b["max_y"] >= min_y)
+
+
+def within_bounds(g: Column, min_x: Column, min_y: Column, max_x: Column, max_y: Column) -> Column:
+    b = bounds(g)
+    return (b["min_x"] >= min_x) & (b["max_x"] <= max_x) & (b["min_y"] >= min_y) & (b["max_y"] <= max_y)
+
+
+def envelope(g: Column) -> Column:
+    b = bounds(g)
+    return rectangle(b["min_x"], b["min_y"], b["max_x"], b["max_y"])
+
+
+def distance(a: Column, b: Column) -> Column:
+    """Between centroids."""
+    p, q = centroid(a), centroid(b)
+    return F.sqrt(F.pow(p["x"] - q["x"], 2) + F.pow(p["y"] - q["y"], 2))
+
+
+def signed_area(ring: Column) -> Column:
+    return _twice_area(ring) / 2
+
+
+def compactness(g: Column) -> Column:
+    """Polsby-Popper: 4 pi area / perimeter ** 2."""
+    n = length(g)
+    return F.when(n > 0, area(g) * (4 * 3.141592653589793) / (n * n)).otherwise(F.lit(0.0))
+
+
+def n_vertices(g: Column) -> Column:
+    return F.size(vertices(g))
+
+
+def segments(g: Column) -> Column:
+    """Array of (a, b) of every part's sides."""
+    return F.flatten(F.transform(g["parts"], _sides))
+
+
+def longest_side(g: Column) -> Column:
+    return F.array_max(F.transform(segments(g), lambda s: F.sqrt(F.pow(s["a"]["x"] - s["b"]["x"], 2) + F.pow(s["a"]["y"] - s["b"]["y"], 2))))
+
+
+def azimuth(g: Column) -> Column:
+    """Degrees clockwise from north, from the first vertex to the last."""
+    v = vertices(g)
+    a, b = F.element_at(v, 1), F.element_at(v, -1)
+    return F.pmod(F.degrees(F.atan2(b["x"] - a["x"], b["y"] - a["y"])), F.lit(360.0))
+
+
+def sinuosity(g: Column) -> Column:
+    """Length over the distance of the ends."""
+    v = vertices(g)
+    a, b = F.element_at(v, 1), F.element_at(v, -1)
+    d = F.sqrt(F.pow(a["x"] - b["x"], 2) + F.pow(a["y"] - b["y"], 2))
+    return F.when(d > 0, length(g) / d)
+
+
+# Predicates. A side's or vertex's touch counts; comparisons allow TOLERANCE.
+
+TOLERANCE = 1e-9
+
+
+def _cross(o: Column, a: Column, b: Column) -> Column:
+    return (a["x"] - o["x"]) * (b["y"] - o["y"]) - (a["y"] - o["y"]) * (b["x"] - o["x"])
+
+
+def _on(p: Column, s: Column) -> Column:
+    a, b = s["a"], s["b"]
+    t = TOLERANCE
+    return (
+        (F.abs(_cross(a, p, b)) <= t)
+        & (p["x"] >= F.least(a["x"], b["x"]) - t) & (p["x"] <= F.greatest(a["x"], b["x"]) + t)
+        & (p["y"] >= F.least(a["y"], b["y"]) - t) & (p["y"] <= F.greatest(a["y"], b["y"]) + t)
+    )
+
+
+def _meet(s: Column, t: Column) -> Column:
+    """Whether two sides have a point in common."""
+    one, two = _cross(s["a"], s["b"], t["a"]), _cross(s["a"], s["b"], t["b"])
+    three, four = _cross(t["a"], t["b"], s["a"]), _cross(t["a"], t["b"], s["b"])
+    apart = lambda x, y: ((x > TOLERANCE) & (y < -TOLERANCE)) | ((x < -TOLERANCE) & (y > TOLERANCE))
+    return (apart(one, two) & apart(three, four)) | _on(t["a"], s) | _on(t["b"], s) | _on(s["a"], t) | _on(s["b"], t)
+
+
+def _in_ring(p: Column, ring: Column) -> Column:
+    over = lambda s: ((s["a"]["y"] > p["y"]) != (s["b"]["y"] > p["y"])) & (p["x"] <= (s["b"]["x"] - s["a"]["x"]) * (p["y"] - s["a"]["y"]) / (s["b"]["y"] - s["a"]["y"]) + s["a"]["x"])
+    return F.exists(_sides(ring), lambda s: _on(p, s)) | (F.size(F.filter(_sides(ring), over)) % 2 == 1)
+
+
+def intersects(a: Column, b: Column) -> Column:
+    ka, kb = simple_kind(a), simple_kind(b)
+    cross = lambda p, q: F.exists(_sides(p), lambda s: F.exists(_sides(q), lambda t: _meet(s, t)))
+
+    def pair(p: Column, q: Column) -> Column:
+        return (
+            F.when((ka == "Point") & (kb == "Point"), p[0] == q[0])
+            .when((ka == "Point") & (kb == "LineString"), F.exists(_sides(q), lambda s: _on(p[0], s)))
+            .when((ka == "LineString") & (kb == "Point"), F.exists(_sides(p), lambda s: _on(q[0], s)))
+            .when(ka == "Point", _in_ring(p[0], q))
+            .when(kb == "Point", _in_ring(q[0], p))
+            .when((ka == "LineString") & (kb == "LineString"), cross(p, q))
+            .when(ka == "LineString", cross(p, q) | F.exists(p, lambda v: _in_ring(v, q)))
+            .when(kb == "LineString", cross(p, q) | F.exists(q, lambda v: _in_ring(v, p)))
+            .otherwise(cross(p, q) | _in_ring(p[0], q) | _in_ring(q[0], p))
+        )
+
+    return F.exists(a["parts"], lambda p: F.exists(b["parts"], lambda q: pair(p, q)))
+
+
+def within(a: Column, b: Column) -> Column:
+    """Whether every vertex of each part of a lies in one part of b."""
+    ka, kb = simple_kind(a), simple_kind(b)
+
+    def pair(p: Column, q: Column) -> Column:
+        return (
+            F.when(kb == "Polygon", F.forall(p, lambda v: _in_ring(v, q)))
+            .when((ka == "Point") & (kb == "Point"), p[0] == q[0])
+            .when((kb == "LineString") & (ka != "Polygon"), F.forall(p, lambda v: F.exists(_sides(q), lambda s: _on(v, s))))
+            .otherwise(F.lit(False))
+        )
+
+    return F.forall(a["parts"], lambda p: F.exists(b["parts"], lambda q: pair(p, q)))
+
+
+def contains(a: Column, b: Column) -> Column:
+    return within(b, a)
+
+
+def disjoint(a: Column, b: Column) -> Column:
+    return ~intersects(a, b)
+
+
+def equals(a: Column, b: Column) -> Column:
+    return normalize(a).eqNullSafe(normalize(b))
+
+
+def covers(a: Column, b: Column) -> Column:
+    return contains(a, b) | equals(a, b)
+
+
+def covered_by(a: Column, b: Column) -> Column:
+    return covers(b, a)
+
+
+PREDICATES = {"intersects": intersects, "within": within, "contains": contains, "disjoint": disjoint, "equals": equals, "covers": covers, "covered_by": covered_by}
+
+
+def representative_point(g: Column) -> Column:
+    """The centroid, or a polygon's first vertex if that lies outside."""
+    c = centroid(g)
+    at = point(c["x"], c["y"])
+    return F.when((g["type"] == "Polygon") & ~within(at, g), point(vertices(g)[0]["x"], vertices(g)[0]["y"])).otherwise(at)
+
+
+# Validity and repair.
+
+
+def _consecutive_equal(part: Column) -> Column:
+    return F.exists(_sides(part), lambda s: s["a"] == s["b"])
+
+
+def _crosses_itself(part: Column, ring: Column) -> Column:
+    """Whether two sides that aren't neighbours meet."""
+    sides = F.transform(_sides(part), lambda s, i: F.struct(s["a"].alias("a"), s["b"].alias("b"), i.alias("i")))
+    n = F.size(sides)
+    apart = lambda s, t: (t["i"] > s["i"] + 1) & ~(ring & (s["i"] == 0) & (t["i"] == n - 1))
+    return F.exists(sides, lambda s: F.exists(sides, lambda t: apart(s, t) & _meet(s, t)))
+
+
+def _spikes(ring: Column, least: float) -> Column:
+    """Whether a corner's angle is below least (radians)."""
+    corners = F.transform(F.sequence(F.lit(0), F.size(ring) - 2), lambda i: F.struct(F.when(i == 0, F.element_at(ring, -2)).otherwise(F.get(ring, i - 1)).alias("p"), F.get(ring, i).alias("q"), F.get(ring, i + 1).alias("r")))
+
+    def sharp(c: Column) -> Column:
+        ax, ay, bx, by = c["p"]["x"] - c["q"]["x"], c["p"]["y"] - c["q"]["y"], c["r"]["x"] - c["q"]["x"], c["r"]["y"] - c["q"]["y"]
+        n = F.sqrt((ax * ax + ay * ay) * (bx * bx + by * by))
+        return (n > 0) & (F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (ax * bx + ay * by) / n))) < least)
+
+    return (F.size(ring) >= 4) & F.exists(corners, sharp)
+
+
+def issues(g: Column, spike: float = 0.12) -> Column:
+    """Names of what is wrong with any part: duplicate_vertices, insufficient_distinct_vertices, zero_length, zero_area, clockwise_exterior, self_intersection, narrow_spike."""
+    k, n = simple_kind(g), normalize(g)["parts"]
+    some = lambda test: F.exists(n, test)
+    is_line, is_ring = k == "LineString", k == "Polygon"
+    tests = [
+        ("duplicate_vertices", F.when(g["type"] == "MultiPoint", F.size(F.array_distinct(vertices(g))) < F.size(vertices(g))).otherwise((k != "Point") & some(_consecutive_equal))),
+        ("insufficient_distinct_vertices", (is_line & some(lambda p: F.size(F.array_distinct(p)) < 2)) | (is_ring & some(lambda p: F.size(F.array_distinct(p)) < 3))),
+        ("zero_length", is_line & some(lambda p: _sum(F.transform(_sides(p), lambda s: F.abs(s["a"]["x"] - s["b"]["x"]) + F.abs(s["a"]["y"] - s["b"]["y"]))) == 0)),
+        ("zero_area", is_ring & some(lambda p: _twice_area(p) == 0)),
+        ("clockwise_exterior", is_ring & some(lambda p: _twice_area(p) < 0)),
+        ("self_intersection", (k != "Point") & some(lambda p: (F.size(p) >= 4) & _crosses_itself(p, is_ring))),
+        ("narrow_spike", is_ring & some(lambda p: _spikes(p, spike))),
+    ]
+    return F.filter(F.array(*[F.when(t, F.lit(name)) for name, t in tests]), lambda x: x.isNotNull())
+
+
+def validity(g: Column) -> Column:
+    """is_valid, issue_count and issues."""
+    found = issues(g)
+    return F.struct((F.size(found) == 0).alias("is_valid"), F.size(found).alias("issue_count"), found.alias("issues"))
+
+
+def repair(g: Column) -> Column:
+    """Without equal vertices in a row; rings closed and counter-clockwise."""
+    lean = lambda p: F.filter(p, lambda v, i: (i == 0) | (v != F.get(p, i - 1)))
+    ccw = lambda r: F.when(_twice_area(r) < 0, F.reverse(r)).otherwise(r)
+    ring = simple_kind(g) == "Polygon"
+    several = F.when(g["type"] == "MultiPoint", F.array_distinct(g["parts"])).otherwise(F.transform(g["parts"], lambda p: F.when(ring, ccw(closed(lean(p)))).otherwise(lean(p))))
+    return geometry(g["type"], several)
+
+
+# Constructions.
+
+
+def convex_hull(g: Column) -> Column:
+    """By the monotone chain; a point or line if the vertices are one or on a line."""
+    v = F.array_sort(F.array_distinct(vertices(g)))
+
+    def chain(points: Column) -> Column:
+        def drop(s: Column, p: Column) -> Column:
+            # Takes the last vertices off while they don't turn left; at most as many as there are.
+            once = lambda t: F.when((F.size(t) >= 2) & (_cross(F.element_at(t, -2), F.element_at(t, -1), p) <= 0), F.slice(t, F.lit(1), F.size(t) - 1)).otherwise(t)
+            return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(s), F.lit(1))), s, lambda t, i: once(t))
+
+        empty = F.slice(points, 1, 0)
+        return F.aggregate(points, empty, lambda s, p: F.concat(drop(s, p), F.array(p)))
+
+    lower, upper = chain(v), chain(F.reverse(v))
+    ring = F.concat(F.slice(lower, F.lit(1), F.size(lower) - 1), upper)
+    return F.when(F.size(v) == 1, geometry("Point", F.array(v))).when(F.size(lower) + F.size(upper) <= 4, geometry("LineString", F.array(F.array(v[0], F.element_at(v, -1))))).otherwise(geometry("Polygon", F.array(ring)))
+
+
+def circle(x: Column, y: Column, radius: Column | float, sides: int = 64) -> Column:
+    """A polygon of so many sides about a place."""
+    step = 2 * 3.141592653589793 / sides
+    ring = F.transform(F.sequence(F.lit(0), F.lit(sides)), lambda i: xy(x + F.cos((i % sides) * step) * radius, y + F.sin((i % sides) * step) * radius))
+    return geometry("Polygon", F.array(ring))
+
+
+def clipped(g: Column, min_x: float | Column, min_y: float | Column, max_x: float | Column, max_y: float | Column) -> Column:
+    """A polygon's or ring set's parts inside a rectangle, by cutting at its four sides; null if nothing is left. Concave rings may keep a seam on the border."""
+
+    def cut(ring: Column, inside, at) -> Column:
+        def step(s: Column) -> Column:
+            a, b = s["a"], s["b"]
+            return F.when(inside(a) & inside(b), F.array(b)).when(inside(a), F.array(at(a, b))).when(inside(b), F.array(at(a, b), b)).otherwise(F.slice(F.array(a), 1, 0))
+
+        kept = F.flatten(F.transform(_sides(ring), step))
+        return F.when(F.size(kept) > 0, closed(kept)).otherwise(kept)
+
+    def on_x(v):
+        return lambda a, b: xy(F.lit(v) if not isinstance(v, Column) else v, a["y"] + (b["y"] - a["y"]) * ((v - a["x"]) / (b["x"] - a["x"])))
+
+    def on_y(v):
+        return lambda a, b: xy(a["x"] + (b["x"] - a["x"]) * ((v - a["y"]) / (b["y"] - a["y"])), F.lit(v) if not isinstance(v, Column) else v)
+
+    def ring(r: Column) -> Column:
+        r = cut(r, lambda p: p["x"] >= min_x, on_x(min_x))
+        r = cut(r, lambda p: p["x"] <= max_x, on_x(max_x))
+        r = cut(r, lambda p: p["y"] >= min_y, on_y(min_y))
+        return cut(r, lambda p: p["y"] <= max_y, on_y(max_y))
+
+    left = F.filter(F.transform(normalize(g)["parts"], ring), lambda r: F.size(r) >= 4)
+    return F.when(F.size(left) > 0, geometry(g["type"], left))
+
+
+def interpolated(g: Column, share: float | Column) -> Column:
+    """The place at a share of a line's length."""
+    sides = F.transform(segments(g), lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), F.sqrt(F.pow(s["a"]["x"] - s["b"]["x"], 2) + F.pow(s["a"]["y"] - s["b"]["y"], 2)).alias("n")))
+    goal = _sum(F.transform(sides, lambda s: s["n"])) * share
+    first = vertices(g)[0]
+    start = F.struct(goal.alias("left"), first.alias("at"))
+
+    def step(m: Column, s: Column) -> Column:
+        t = F.least(F.lit(1.0), m["left"] / s["n"])
+        here = xy(s["a"]["x"] + (s["b"]["x"] - s["a"]["x"]) * t, s["a"]["y"] + (s["b"]["y"] - s["a"]["y"]) * t)
+        return F.when((m["left"] <= 0) | (s["n"] <= 0), m).otherwise(F.struct(F.greatest(F.lit(0.0), m["left"] - s["n"]).alias("left"), here.alias("at")))
+
+    end = F.aggregate(sides, start, step)["at"]
+    return point(end["x"], end["y"])
+
+
+def located(g: Column, x: Column, y: Column) -> Column:
+    """distance from a place to a line and measure, the length along it to the nearest point."""
+
+    def near(s: Column) -> Column:
+        dx, dy = s["b"]["x"] - s["a"]["x"], s["b"]["y"] - s["a"]["y"]
+        n2 = dx * dx + dy * dy
+        t = F.when(n2 > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - s["a"]["x"]) * dx + (y - s["a"]["y"]) * dy) / n2))).otherwise(F.lit(0.0))
+        d = F.sqrt(F.pow(x - s["a"]["x"] - t * dx, 2) + F.pow(y - s["a"]["y"] - t * dy, 2))
+        return F.struct(d.alias("d"), (t * F.sqrt(n2)).alias("along"), F.sqrt(n2).alias("n"))
+
+    start = F.struct(F.lit(float("inf")).alias("distance"), F.lit(0.0).alias("measure"), F.lit(0.0).alias("before"))
+
+    def step(m: Column, s: Column) -> Column:
+        better = s["d"] < m["distance"]
+        return F.struct(F.when(better, s["d"]).otherwise(m["distance"]).alias("distance"), F.when(better, m["before"] + s["along"]).otherwise(m["measure"]).alias("measure"), (m["before"] + s["n"]).alias("before"))
+
+    return F.aggregate(F.transform(segments(g), near), start, step, lambda m: F.struct(m["distance"], m["measure"]))
+
+
+def densified(g: Column, most: float) -> Column:
+    """With vertices put in, evenly, so that no side is longer than most."""
+
+    def side(s: Column) -> Column:
+        n = F.greatest(F.lit(1), F.ceil(F.sqrt(F.pow(s["a"]["x"] - s["b"]["x"], 2) + F.pow(s["a"]["y"] - s["b"]["y"], 2)) / most)).cast("int")
+        return F.transform(F.sequence(F.lit(1), n), lambda i: xy(s["a"]["x"] + (s["b"]["x"] - s["a"]["x"]) * i / n, s["a"]["y"] + (s["b"]["y"] - s["a"]["y"]) * i / n))
+
+    return F.when(simple_kind(g) == "Point", g).otherwise(geometry(g["type"], F.transform(g["parts"], lambda p: F.concat(F.array(p[0]), F.flatten(F.transform(_sides(p), side))))))

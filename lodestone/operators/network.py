@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.scratch import written
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *[c for c in edges.columns if c not in ("src", "dst")]))
@@ -14,20 +16,16 @@ def undirected(edges: DataFrame) -> DataFrame:
 ROUNDS = 4
 
 
-def _written(df: DataFrame) -> DataFrame:
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
-
-
 def shortest_costs(edges: DataFrame, origins: DataFrame, most: float | None = None) -> DataFrame:
     """origin, node, cost of every node that can be reached, at a cost of most or less; there is no limit of hops.
 
     Nodes whose cost improved are relaxed for a few rounds, then the state is written; it ends when none improves. Costs are
     0 at least, as otherwise that might never be. Edges without a cost lead nowhere.
     """
-    out = _written(edges.filter("cost is not null").select(F.col("src").alias("node"), F.col("dst").alias("_to"), F.col("cost").cast("double").alias("_more")))
+    out = written(edges.filter("cost is not null").select(F.col("src").alias("node"), F.col("dst").alias("_to"), F.col("cost").cast("double").alias("_more")))
     if not out.filter("_more < 0").isEmpty():
         raise ValueError("an edge costs less than 0")
-    state = _written(origins.select(F.col("node").alias("origin"), "node", F.lit(0.0).alias("cost")).distinct())
+    state = written(origins.select(F.col("node").alias("origin"), "node", F.lit(0.0).alias("cost")).distinct())
     last = state
     while not last.isEmpty():
         tried = state.withColumn("_old", F.col("cost"))
@@ -37,7 +35,7 @@ def shortest_costs(edges: DataFrame, origins: DataFrame, most: float | None = No
                 last = last.filter(F.col("cost") <= most)
             last = last.groupBy("origin", "node").agg(F.min("cost").alias("cost"))
             tried = tried.unionByName(last, allowMissingColumns=True)
-        tried = _written(tried.groupBy("origin", "node").agg(F.min("cost").alias("cost"), F.min("_old").alias("_old")))
+        tried = written(tried.groupBy("origin", "node").agg(F.min("cost").alias("cost"), F.min("_old").alias("_old")))
         state, last = tried.drop("_old"), tried.filter("_old is null or cost < _old").drop("_old")
     return state
 

@@ -10,7 +10,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions import geometry as geo
 from lodestone.functions.equations import euclidean
+from lodestone.scratch import written
 
 
 def _cell(v: Column, size: float) -> Column:
@@ -58,21 +60,25 @@ def nearest_join(left: DataFrame, right: DataFrame, k: int = 1, how: str = "inne
     if max_distance is not None:
         out = ranked(left, max_distance)
     else:
+        # A table of its own, so that no round works out again where its points came from.
+        right = written(right)
+        left = right if exclude_self and left is right else written(left)
         box = right.unionByName(left.select("x", "y"), allowMissingColumns=True).agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).head()
         n = right.count()
         if n == 0 or box[0] is None:
             out = ranked(left, 1.0)
         else:
             span = max(box[1] - box[0], box[3] - box[2], 1e-9)
-            size, todo, done = max(span * ((k + 2) / n) ** 0.5, 1e-9), left, []
+            # About a dozen points more than needed in the nine cells around a point, if points lay evenly.
+            size, todo, done = max(span * ((k + 4) / n) ** 0.5, 1e-9), left, []
             while True:
-                found = ranked(todo, size)
+                found = written(ranked(todo, size))
                 if size >= 2 * span:
                     done.append(found)
                     break
                 full = found.filter(F.col("rank") == k).select("id")
                 done.append(found.join(full, "id", "left_semi"))
-                todo = todo.join(full, "id", "left_anti")
+                todo = written(todo.join(full, "id", "left_anti"))
                 if todo.isEmpty():
                     break
                 size *= 2
@@ -132,3 +138,78 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, lo: str, hi: str,
     on = (F.col(key) == F.col(f"{key}_{suffix}")) & (F.col("_b") == F.col("_b2"))
     first = F.col("_b") == F.greatest(F.floor(F.col(lo) / bucket), F.floor(F.col(f"{lo}_{suffix}") / bucket))
     return a.join(r, on).filter((F.col(lo) < F.col(f"{hi}_{suffix}")) & (F.col(f"{lo}_{suffix}") < F.col(hi)) & first).drop("_b", "_b2")
+
+
+def _renamed(left: DataFrame, right: DataFrame, lsuffix: str, rsuffix: str) -> tuple[DataFrame, DataFrame]:
+    clash = set(left.columns) & set(right.columns)
+    return tuple(df.withColumnsRenamed({c: f"{c}_{s}" for c in df.columns if c in clash}) for df, s in ((left, lsuffix), (right, rsuffix)))
+
+
+def _boxed(df: DataFrame, g: str, name: str) -> DataFrame:
+    return df.withColumn(name, geo.bounds(F.col(g)))
+
+
+def geometry_join(left: DataFrame, right: DataFrame, lg: str = "geometry", rg: str = "geometry", predicate: str = "intersects", how: str = "inner", cell: float | None = None, lsuffix: str = "left", rsuffix: str = "right", within: float = 0.0) -> DataFrame:
+    """Rows of both sides whose geometries meet a predicate of functions.geometry (intersects, within, contains, covers, covered_by, equals).
+
+    Each geometry goes to the grid cells that its bounds cover; a pair whose bounds meet is tested once, in the cell of the
+    greater lower corner. cell: the grid's size, by default twice the mean extent of the larger side. Columns of one name get
+    suffixes. "left" keeps left rows without a partner, with nulls. within widens the left bounds, for distance predicates.
+    """
+    a, b = _renamed(left, right, lsuffix, rsuffix)
+    lg, rg = (f"{lg}_{lsuffix}", f"{rg}_{rsuffix}") if lg in right.columns and lg == rg else (lg, rg)
+    a, b = _boxed(a, lg, "_a"), _boxed(b, rg, "_b")
+    if cell is None:
+        extent = lambda df, c: df.select(F.avg(F.greatest(F.col(f"{c}.max_x") - F.col(f"{c}.min_x"), F.col(f"{c}.max_y") - F.col(f"{c}.min_y")))).head()[0] or 0.0
+        cell = max(2 * max(extent(a, "_a"), extent(b, "_b")) + within, 1e-6)
+    a = a.withColumn("_lid", F.monotonically_increasing_id()) if how == "left" else a
+    a = written(a) if how == "left" else a
+    spread = lambda df, c, d: df.withColumn("_cx", F.explode(F.sequence(_cell(F.col(f"{c}.min_x") - d, cell), _cell(F.col(f"{c}.max_x") + d, cell)))).withColumn("_cy", F.explode(F.sequence(_cell(F.col(f"{c}.min_y") - d, cell), _cell(F.col(f"{c}.max_y") + d, cell))))
+    near = (F.col("_a.min_x") - within <= F.col("_b.max_x")) & (F.col("_a.max_x") + within >= F.col("_b.min_x")) & (F.col("_a.min_y") - within <= F.col("_b.max_y")) & (F.col("_a.max_y") + within >= F.col("_b.min_y"))
+    once = (F.col("_cx") == _cell(F.greatest(F.col("_a.min_x") - within, F.col("_b.min_x")), cell)) & (F.col("_cy") == _cell(F.greatest(F.col("_a.min_y") - within, F.col("_b.min_y")), cell))
+    pairs = spread(a, "_a", within).join(spread(b, "_b", 0.0), ["_cx", "_cy"]).filter(near & once)
+    test = geo.PREDICATES[predicate](F.col(lg), F.col(rg)) if predicate in geo.PREDICATES else F.lit(True)
+    pairs = pairs.filter(test).drop("_cx", "_cy", "_a", "_b")
+    if how == "left":
+        alone = a.join(pairs.select("_lid").distinct(), "_lid", "left_anti").drop("_a")
+        return pairs.unionByName(alone, allowMissingColumns=True).drop("_lid")
+    return pairs
+
+
+def buffer_join(left: DataFrame, right: DataFrame, distance: float, geometry: str = "geometry", sides: int = 64, how: str = "inner") -> DataFrame:
+    """Left rows, points with a circle about each as geometry, and the right geometries that meet it."""
+    v = geo.vertices(F.col(geometry))[0]
+    return geometry_join(left.withColumn(geometry, geo.circle(v["x"], v["y"], distance, sides)), right, geometry, geometry, "intersects", how)
+
+
+def corridor_reach(corridors: DataFrame, targets: DataFrame, distance: float, geometry: str = "geometry", suffix: str = "reach") -> DataFrame:
+    """Targets that meet a corridor or whose centroid lies within distance of the corridor's."""
+    met = geometry_join(corridors, targets, geometry, geometry, "intersects", rsuffix=suffix, lsuffix="corridor")
+    a, b = _renamed(corridors, targets, "corridor", suffix)
+    ca, cb = geo.centroid(F.col(f"{geometry}_corridor")), geo.centroid(F.col(f"{geometry}_{suffix}"))
+    left = a.withColumn("_c", ca).withColumn("x", F.col("_c.x")).withColumn("y", F.col("_c.y")).drop("_c")
+    right = b.withColumn("_c", cb).withColumn("x", F.col("_c.x")).withColumn("y", F.col("_c.y")).drop("_c")
+    close = within_distance_pairs(left, right.withColumnsRenamed({}), distance, "t")
+    close = close.select(*a.columns, *[F.col(f"{c}_t").alias(c) for c in b.columns])
+    return met.select(*a.columns, *b.columns).unionByName(close).distinct()
+
+
+def polygon_neighbors(polygons: DataFrame, id_col: str = "id", geometry: str = "geometry") -> DataFrame:
+    """Pairs of ids (the smaller first) whose polygons touch or overlap."""
+    pairs = geometry_join(polygons.select(id_col, geometry), polygons.select(id_col, geometry), geometry, geometry)
+    a, b = F.col(f"{id_col}_left"), F.col(f"{id_col}_right")
+    return pairs.filter(a < b).select(a.alias("a"), b.alias("b"))
+
+
+def overlay_summary(left: DataFrame, right: DataFrame, id_col: str = "id", geometry: str = "geometry") -> DataFrame:
+    """id and how many right geometries each left one meets."""
+    met = geometry_join(left.select(id_col, geometry), right.select(F.col(geometry)), geometry, geometry).groupBy(id_col).agg(F.count("*").alias("n"))
+    return left.select(id_col).join(met, id_col, "left").select(id_col, F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def rectangle_overlaps(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
+    """Pairs of boxes (id, min_x, ...) that overlap, with the common box and its area: overlay_intersections, tabulate_intersection and clip of rectangles."""
+    boxes = lambda df: df.withColumn("geometry", geo.rectangle(F.col("min_x"), F.col("min_y"), F.col("max_x"), F.col("max_y")))
+    pairs = geometry_join(boxes(left), boxes(right), predicate="any", cell=cell)
+    out = pairs.select("id_left", "id_right", *[f(f"{c}_left", f"{c}_right").alias(c) for c, f in (("min_x", F.greatest), ("min_y", F.greatest), ("max_x", F.least), ("max_y", F.least))])
+    return out.withColumn("area", (F.col("max_x") - F.col("min_x")) * (F.col("max_y") - F.col("min_y"))).filter("max_x > min_x and max_y > min_y")

@@ -592,3 +592,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+from lodestone.plans import frame_queries  # noqa: E402, F401
