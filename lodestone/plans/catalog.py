@@ -228,11 +228,11 @@ def anchor_influence(t):
     return t.points().crossJoin(anchor).select("id", r6(eq.influence(F.col("v"), eq.euclidean(F.col("x"), F.col("y"), F.col("ax"), F.col("ay")))).alias("influence"))
 
 
-@query("SELECT p_partkey, round(least(p_size, p_retailprice / 50) / greatest(p_size, p_retailprice / 50) / (1 + p_size / 10.0), 6) AS similarity, round(pow(p_size / (p_retailprice / 50), 2), 6) AS stress, round(least(1, greatest(0, (p_retailprice - p_size * 20) / p_retailprice)), 6) AS deficit, round(0.01 * exp(p_size * 0.03), 6) AS failure FROM part")
+@query("SELECT p_partkey, least(p_size, p_retailprice / 50) / greatest(p_size, p_retailprice / 50) / (1 + p_size / 10.0::DOUBLE) AS similarity, pow(p_size / (p_retailprice / 50), 2) AS stress, least(1, greatest(0, (p_retailprice - p_size * 20) / p_retailprice)) AS deficit, 0.01::DOUBLE * exp(p_size * 0.03::DOUBLE) AS failure FROM part")
 def utility_equations(t):
     c = F.col
     size, price = c("p_size").cast("double"), c("p_retailprice")
-    return t.part.select("p_partkey", r6(eq.area_similarity(size, price / 50, size / 10)).alias("similarity"), r6(eq.capacity_stress(size, price / 50)).alias("stress"), r6(eq.service_deficit(price, size * 20)).alias("deficit"), r6(eq.failure_rate(F.lit(0.01), size)).alias("failure"))
+    return t.part.select("p_partkey", eq.area_similarity(size, price / 50, size / 10).alias("similarity"), eq.capacity_stress(size, price / 50).alias("stress"), eq.service_deficit(price, size * 20).alias("deficit"), eq.failure_rate(F.lit(0.01), size).alias("failure"))
 
 
 @query("SELECT p_partkey, round(10.67 * p_size * pow(p_retailprice / 130, 1.852) / pow(2, 4.87), 4) AS headloss, round(p_size / pow(1 + 1.0, 2) + p_retailprice / pow(1 + 2.0, 2), 6) AS accessibility FROM part")
@@ -453,7 +453,7 @@ def trajectory_analysis(t):
     return e.groupBy("user_id").agg(F.count("*").alias("n"), r6(F.sum(F.abs("d"))).alias("path"), F.round(F.sum("dt"), 3).alias("seconds"), F.min("value").alias("lo"), F.max("value").alias("hi"))
 
 
-@query("WITH s AS (SELECT user_id, ts, CASE WHEN epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 14400 THEN 0 ELSE 1 END AS fresh FROM events), g AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM s) SELECT user_id, epoch(min(ts))::BIGINT AS start, count(*) AS n FROM g GROUP BY user_id, k")
+@query("WITH s AS (SELECT user_id, ts, CASE WHEN epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 14400 THEN 0 ELSE 1 END AS fresh FROM events), g AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM s) SELECT user_id, floor(epoch(min(ts)))::BIGINT AS start, count(*) AS n FROM g GROUP BY user_id, k")
 def sessions(t):
     return temporal.sessions(t.events, "ts", "user_id", "4 hours").select("user_id", F.unix_timestamp("start").alias("start"), "n")
 

@@ -1,8 +1,9 @@
-"""Runs a query and its DuckDB SQL over the same tables and compares rows without regard to order."""
+"""Runs a query and its DuckDB SQL over the same tables and compares rows without regard to order: floats by a tolerance, all else exactly."""
 
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 from pathlib import Path
 
 DATA = "/root/testdata"
@@ -21,14 +22,14 @@ def duck(folder: str):
 def _cell(v):
     if v is None or (isinstance(v, float) and math.isnan(v)):
         return None
-    if isinstance(v, (int, float)) and not isinstance(v, bool):
-        return round(float(v), 5)
-    return str(v)
+    if isinstance(v, Decimal):
+        return int(v) if v == v.to_integral_value() else round(float(v), 5)
+    return round(v, 5) if isinstance(v, float) else v if isinstance(v, int) else str(v)
 
 
 def rows(columns: list[str], data) -> list[tuple]:
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    return sorted((tuple(_cell(r[i]) for i in order) for r in data), key=repr)
+    return sorted((tuple(_cell(r[i]) for i in order) for r in data), key=lambda r: [(v is None, type(v) is str, float(v) if isinstance(v, (int, float)) else str(v)) for v in r])
 
 
 def differences(spark, con, name: str, query, sql: str, folder: str) -> str:
