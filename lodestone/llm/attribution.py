@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches
-from .tokens import encoder
+from .tokens import encoder, released
 
 RULES = ("first", "last", "largest", "each")
 
@@ -75,6 +75,7 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                 spans = np.concatenate(given)
                 cols = [np.concatenate([np.arange(n) for n in many]), spans[:, 0], spans[:, 1], np.concatenate([x[0] for x in sums]), np.concatenate([x[1] for x in sums])]
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in cols)], names)
+        released()
 
     bounded_batches(docs.sparkSession)
     cols = [F.col(id_col).cast("long"), F.col(text_col).cast("string"), *([F.col(spans_col)] if spans_col else [])]

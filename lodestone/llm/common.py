@@ -95,18 +95,23 @@ def byte_view(column) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def lean(batches):
-    """batches; before each, what earlier work of this Python process left free goes back to the system, as workers are kept from stage to stage."""
+def trim() -> None:
+    """Gives what earlier work of this Python process left free back to the system."""
     import ctypes
 
     import pyarrow as pa
 
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    pa.default_memory_pool().release_unused()
+    if give := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give(0)
+
+
+def lean(batches):
+    """batches, with a trim before each and at the end, as workers are kept from stage to stage."""
     for batch in batches:
-        pa.default_memory_pool().release_unused()
-        if trim:
-            trim(0)
+        trim()
         yield batch
+    trim()
 
 
 def slices(batch, name: str, most: int = 1 << 19):

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, cut, lean
-from .tokens import END_ID, encoder
+from .tokens import END_ID, encoder, released
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part long, ids binary"
 
@@ -102,6 +102,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                 if done:
                     yield _arrow(_rows(done, (part << 30) + made, None))
                     made += len(done)
+        released()
         if left := packer.flush():
             yield _arrow(_rows(left, 0, part))
 

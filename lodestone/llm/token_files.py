@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, shared_dir
-from .tokens import END_ID, encoder
+from .tokens import END_ID, encoder, released
 
 SKIPPABLE, SEEK_MAGIC = 0x184D2A5E, 0x8F92EAB1
 #: Ids after which a frame ends.
@@ -155,6 +155,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str
                     ids = np.append(ids, np.uint32(end_id))
                     writer.add(key, ids)
                     n_docs, n_ids = n_docs + 1, n_ids + len(ids)
+        released()
         if writer is not None:
             writer.close()
             sink.close()

@@ -8,13 +8,14 @@ Pieces of at most eight bytes are told apart by those bytes, longer ones by 64 b
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from functools import lru_cache
 
 import numpy as np
 
-from .common import mix
+from .common import mix, trim
 
 END_ID = 2
 #: Characters of the texts whose pieces are looked up together, about; a bound on memory.
@@ -230,7 +231,14 @@ class PieceEncoder:
         return [x.astype(np.int64, copy=False) for x in self._cells(texts, 2)]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder(path: str) -> PieceEncoder:
     """One encoder a worker process."""
     return PieceEncoder(path)
+
+
+def released() -> None:
+    """Frees the encoder at the end of a task, as workers are kept for other stages; the next task loads it anew in half a second."""
+    encoder.cache_clear()
+    gc.collect()
+    trim()

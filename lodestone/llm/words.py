@@ -19,7 +19,11 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def _power(name: str, base: int, n: int) -> np.ndarray:
-    """1, base, base ** 2, ... modulo 2 ** 64, at least n of them."""
+    """1, base, base ** 2, ... modulo 2 ** 64, n of them; kept up to a million."""
+    if n > 1 << 20:
+        steps = np.full(n, base, dtype=np.uint64)
+        steps[0] = 1
+        return np.cumprod(steps, dtype=np.uint64)
     have = _powers.get(name)
     if have is None or len(have) < n:
         steps = np.full(max(n, 1 << 16), base, dtype=np.uint64)
