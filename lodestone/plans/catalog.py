@@ -594,4 +594,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-from lodestone.plans import frame_queries  # noqa: E402, F401
+from lodestone.plans import frame_queries, stats_queries  # noqa: E402, F401
