@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import cos, radians, sin
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,10 +24,17 @@ def vertices(g: Column) -> Column:
     return F.flatten(g["parts"])
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value worked out once a row, and held once in the plan."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def bounds(g: Column) -> Column:
-    v = vertices(g)
-    xs, ys = F.transform(v, lambda p: p["x"]), F.transform(v, lambda p: p["y"])
-    return F.struct(F.array_min(xs).alias("min_x"), F.array_min(ys).alias("min_y"), F.array_max(xs).alias("max_x"), F.array_max(ys).alias("max_y"))
+    def of(v: Column) -> Column:
+        xs, ys = F.transform(v, lambda p: p["x"]), F.transform(v, lambda p: p["y"])
+        return F.struct(F.array_min(xs).alias("min_x"), F.array_min(ys).alias("min_y"), F.array_max(xs).alias("max_x"), F.array_max(ys).alias("max_y"))
+
+    return let(vertices(g), of)
 
 
 def _sides(part: Column) -> Column:
@@ -120,7 +129,7 @@ def parts(g: Column) -> Column:
 
 def closed(ring: Column) -> Column:
     """A ring whose last vertex is its first."""
-    return F.when(F.element_at(ring, 1) == F.element_at(ring, -1), ring).otherwise(F.concat(ring, F.array(F.element_at(ring, 1))))
+    return let(ring, lambda r: F.when(F.element_at(r, 1) == F.element_at(r, -1), r).otherwise(F.concat(r, F.array(F.element_at(r, 1)))))
 
 
 def normalize(g: Column) -> Column:
@@ -144,15 +153,13 @@ def translated(g: Column, dx: float | Column, dy: float | Column) -> Column:
 
 def scaled(g: Column, sx: float, sy: float | None = None, origin: Column | None = None) -> Column:
     """About origin, by default the centroid."""
-    o = centroid(g) if origin is None else origin
-    return mapped(g, lambda x, y: (o["x"] + (x - o["x"]) * sx, o["y"] + (y - o["y"]) * (sx if sy is None else sy)))
+    return let(centroid(g) if origin is None else origin, lambda o: mapped(g, lambda x, y: (o["x"] + (x - o["x"]) * sx, o["y"] + (y - o["y"]) * (sx if sy is None else sy))))
 
 
 def rotated(g: Column, degrees: float, origin: Column | None = None) -> Column:
     """Counter-clockwise about origin, by default the centroid."""
-    o = centroid(g) if origin is None else origin
-    c, s = F.cos(F.radians(F.lit(float(degrees)))), F.sin(F.radians(F.lit(float(degrees))))
-    return mapped(g, lambda x, y: (o["x"] + (x - o["x"]) * c - (y - o["y"]) * s, o["y"] + (x - o["x"]) * s + (y - o["y"]) * c))
+    c, s = cos(radians(degrees)), sin(radians(degrees))
+    return let(centroid(g) if origin is None else origin, lambda o: mapped(g, lambda x, y: (o["x"] + (x - o["x"]) * c - (y - o["y"]) * s, o["y"] + (x - o["x"]) * s + (y - o["y"]) * c)))
 
 
 def skewed(g: Column, x_degrees: float = 0.0, y_degrees: float = 0.0) -> Column:
@@ -202,39 +209,40 @@ def centroid(g: Column) -> Column:
         # Worked out against the first vertex, so that places far from the origin lose no digits.
         near = F.transform(p, lambda v: F.struct((v["x"] - p[0]["x"]).alias("x"), (v["y"] - p[0]["y"]).alias("y")))
         ring = simple_kind(g) == "Polygon"
-        total = F.when(ring, F.aggregate(F.transform(_sides(near), of_ring), zero, add)).otherwise(F.aggregate(F.transform(_sides(near), of_line), zero, add))
-        mean = lambda k: _sum(F.transform(p, lambda v: v[k])) / F.size(p)
-        place = lambda k: F.when(total["w"] != 0, total[k] / total["w"] + p[0][k]).otherwise(mean(k))
-        weight = F.when(ring, F.abs(total["w"]) / 6).otherwise(total["w"])
-        return F.struct(weight.alias("w"), place("x").alias("x"), place("y").alias("y"))
+        sums = F.aggregate(F.transform(_sides(near), lambda s: F.when(ring, of_ring(s)).otherwise(of_line(s))), zero, add)
+
+        def placed(total: Column) -> Column:
+            mean = lambda k: _sum(F.transform(p, lambda v: v[k])) / F.size(p)
+            place = lambda k: F.when(total["w"] != 0, total[k] / total["w"] + p[0][k]).otherwise(mean(k))
+            return F.struct(F.when(ring, F.abs(total["w"]) / 6).otherwise(total["w"]).alias("w"), place("x").alias("x"), place("y").alias("y"))
 
-    each = F.transform(g["parts"], one)
-    weight = _sum(F.transform(each, lambda c: c["w"]))
-    by_weight = lambda k: _sum(F.transform(each, lambda c: c["w"] * c[k])) / weight
-    plain = lambda k: _sum(F.transform(vertices(g), lambda v: v[k])) / F.size(vertices(g))
-    place = lambda k: F.when(F.size(g["parts"]) == 1, each[0][k]).when(weight != 0, by_weight(k)).otherwise(plain(k))
-    return xy(place("x"), place("y"))
+        return let(sums, placed)
+
+    def together(each: Column) -> Column:
+        weight = _sum(F.transform(each, lambda c: c["w"]))
+        by_weight = lambda k: _sum(F.transform(each, lambda c: c["w"] * c[k])) / weight
+        plain = lambda k: _sum(F.transform(vertices(g), lambda v: v[k])) / F.size(vertices(g))
+        place = lambda k: F.when(F.size(each) == 1, each[0][k]).when(weight != 0, by_weight(k)).otherwise(plain(k))
+        return xy(place("x"), place("y"))
+
+    return let(F.transform(g["parts"], one), together)
 
 
 def intersects_bounds(g: Column, min_x: Column, min_y: Column, max_x: Column, max_y: Column) -> Column:
-    b = bounds(g)
-    return (b["min_x"] <= max_x) & (b["max_x"] >= min_x) & (b["min_y"] <= max_y) & (b["max_y"] >= min_y)
+    return let(bounds(g), lambda b: (b["min_x"] <= max_x) & (b["max_x"] >= min_x) & (b["min_y"] <= max_y) & (b["max_y"] >= min_y))
 
 
 def within_bounds(g: Column, min_x: Column, min_y: Column, max_x: Column, max_y: Column) -> Column:
-    b = bounds(g)
-    return (b["min_x"] >= min_x) & (b["max_x"] <= max_x) & (b["min_y"] >= min_y) & (b["max_y"] <= max_y)
+    return let(bounds(g), lambda b: (b["min_x"] >= min_x) & (b["max_x"] <= max_x) & (b["min_y"] >= min_y) & (b["max_y"] <= max_y))
 
 
 def envelope(g: Column) -> Column:
-    b = bounds(g)
-    return rectangle(b["min_x"], b["min_y"], b["max_x"], b["max_y"])
+    return let(bounds(g), lambda b: rectangle(b["min_x"], b["min_y"], b["max_x"], b["max_y"]))
 
 
 def distance(a: Column, b: Column) -> Column:
     """Between centroids."""
-    p, q = centroid(a), centroid(b)
-    return F.sqrt(F.pow(p["x"] - q["x"], 2) + F.pow(p["y"] - q["y"], 2))
+    return let(F.struct(centroid(a).alias("p"), centroid(b).alias("q")), lambda c: F.sqrt(F.pow(c["p"]["x"] - c["q"]["x"], 2) + F.pow(c["p"]["y"] - c["q"]["y"], 2)))
 
 
 def signed_area(ring: Column) -> Column:
@@ -367,9 +375,8 @@ PREDICATES = {"intersects": intersects, "within": within, "contains": contains,
 
 def representative_point(g: Column) -> Column:
     """The centroid, or a polygon's first vertex if that lies outside."""
-    c = centroid(g)
-    at = point(c["x"], c["y"])
-    return F.when((g["type"] == "Polygon") & ~within(at, g), point(vertices(g)[0]["x"], vertices(g)[0]["y"])).otherwise(at)
+    outside = lambda at: (g["type"] == "Polygon") & ~within(at, g)
+    return let(feature_to_point(g), lambda at: F.when(outside(at), point(vertices(g)[0]["x"], vertices(g)[0]["y"])).otherwise(at))
 
 
 # Validity and repair.
@@ -436,7 +443,6 @@ def repair(g: Column) -> Column:
 
 def convex_hull(g: Column) -> Column:
     """By the monotone chain; a point or line if the vertices are one or on a line."""
-    v = F.array_sort(F.array_distinct(vertices(g)))
 
     def chain(points: Column) -> Column:
         def drop(s: Column, p: Column) -> Column:
@@ -444,12 +450,14 @@ def convex_hull(g: Column) -> Column:
             once = lambda t: F.when((F.size(t) >= 2) & (_cross(F.element_at(t, -2), F.element_at(t, -1), p) <= 0), F.slice(t, F.lit(1), F.size(t) - 1)).otherwise(t)
             return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(s), F.lit(1))), s, lambda t, i: once(t))
 
-        empty = F.slice(points, 1, 0)
-        return F.aggregate(points, empty, lambda s, p: F.concat(drop(s, p), F.array(p)))
+        return F.aggregate(points, F.slice(points, 1, 0), lambda s, p: F.concat(drop(s, p), F.array(p)))
+
+    def joined(c: Column) -> Column:
+        ring = F.concat(F.slice(c["lower"], F.lit(1), F.size(c["lower"]) - 1), c["upper"])
+        flat = F.array(F.array(c["lower"][0], F.element_at(c["lower"], -1)))
+        return F.when(F.size(c["lower"]) == 1, geometry("Point", F.array(c["lower"]))).when(F.size(c["lower"]) + F.size(c["upper"]) <= 4, geometry("LineString", flat)).otherwise(geometry("Polygon", F.array(ring)))
 
-    lower, upper = chain(v), chain(F.reverse(v))
-    ring = F.concat(F.slice(lower, F.lit(1), F.size(lower) - 1), upper)
-    return F.when(F.size(v) == 1, geometry("Point", F.array(v))).when(F.size(lower) + F.size(upper) <= 4, geometry("LineString", F.array(F.array(v[0], F.element_at(v, -1))))).otherwise(geometry("Polygon", F.array(ring)))
+    return let(F.array_sort(F.array_distinct(vertices(g))), lambda v: let(F.struct(chain(v).alias("lower"), chain(F.reverse(v)).alias("upper")), joined))
 
 
 def circle(x: Column, y: Column, radius: Column | float, sides: int = 64) -> Column:
@@ -467,8 +475,8 @@ def clipped(g: Column, min_x: float | Column, min_y: float | Column, max_x: floa
             a, b = s["a"], s["b"]
             return F.when(inside(a) & inside(b), F.array(b)).when(inside(a), F.array(at(a, b))).when(inside(b), F.array(at(a, b), b)).otherwise(F.slice(F.array(a), 1, 0))
 
-        kept = F.flatten(F.transform(_sides(ring), step))
-        return F.when(F.size(kept) > 0, closed(kept)).otherwise(kept)
+        kept = let(ring, lambda r: F.flatten(F.transform(_sides(r), step)))
+        return let(kept, lambda k: F.when(F.size(k) > 0, closed(k)).otherwise(k))
 
     def on_x(v):
         return lambda a, b: xy(F.lit(v) if not isinstance(v, Column) else v, a["y"] + (b["y"] - a["y"]) * ((v - a["x"]) / (b["x"] - a["x"])))
@@ -482,14 +490,13 @@ def clipped(g: Column, min_x: float | Column, min_y: float | Column, max_x: floa
         r = cut(r, lambda p: p["y"] >= min_y, on_y(min_y))
         return cut(r, lambda p: p["y"] <= max_y, on_y(max_y))
 
-    left = F.filter(F.transform(normalize(g)["parts"], ring), lambda r: F.size(r) >= 4)
-    return F.when(F.size(left) > 0, geometry(g["type"], left))
+    return let(F.filter(F.transform(normalize(g)["parts"], ring), lambda r: F.size(r) >= 4), lambda left: F.when(F.size(left) > 0, geometry(g["type"], left)))
 
 
 def interpolated(g: Column, share: float | Column) -> Column:
     """The place at a share of a line's length."""
     sides = F.transform(segments(g), lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), F.sqrt(F.pow(s["a"]["x"] - s["b"]["x"], 2) + F.pow(s["a"]["y"] - s["b"]["y"], 2)).alias("n")))
-    goal = _sum(F.transform(sides, lambda s: s["n"])) * share
+    goal = length(g) * share
     first = vertices(g)[0]
     start = F.struct(goal.alias("left"), first.alias("at"))
 
@@ -498,8 +505,7 @@ def interpolated(g: Column, share: float | Column) -> Column:
         here = xy(s["a"]["x"] + (s["b"]["x"] - s["a"]["x"]) * t, s["a"]["y"] + (s["b"]["y"] - s["a"]["y"]) * t)
         return F.when((m["left"] <= 0) | (s["n"] <= 0), m).otherwise(F.struct(F.greatest(F.lit(0.0), m["left"] - s["n"]).alias("left"), here.alias("at")))
 
-    end = F.aggregate(sides, start, step)["at"]
-    return point(end["x"], end["y"])
+    return geometry("Point", F.array(F.array(F.aggregate(sides, start, step)["at"])))
 
 
 def located(g: Column, x: Column, y: Column) -> Column:
@@ -529,3 +535,533 @@ def densified(g: Column, most: float) -> Column:
         return F.transform(F.sequence(F.lit(1), n), lambda i: xy(s["a"]["x"] + (s["b"]["x"] - s["a"]["x"]) * i / n, s["a"]["y"] + (s["b"]["y"] - s["a"]["y"]) * i / n))
 
     return F.when(simple_kind(g) == "Point", g).otherwise(geometry(g["type"], F.transform(g["parts"], lambda p: F.concat(F.array(p[0]), F.flatten(F.transform(_sides(p), side))))))
+
+
+# Conversions between kinds.
+
+
+def forced(g: Column, type_: str) -> Column:
+    """A simple geometry as its multi-part kind, or back if it has one part."""
+    return geometry(type_, g["parts"])
+
+
+def boundary(g: Column) -> Column:
+    """A polygon's rings as lines; a line's ends as points; nothing for points."""
+    ends = F.flatten(F.transform(g["parts"], lambda p: F.array(F.array(p[0]), F.array(F.element_at(p, -1)))))
+    k = simple_kind(g)
+    return F.when(k == "Polygon", geometry(F.when(F.size(g["parts"]) == 1, "LineString").otherwise("MultiLineString"), g["parts"])).when(k == "LineString", geometry("MultiPoint", ends))
+
+
+def exterior_ring(g: Column) -> Column:
+    """A polygon's ring as a line (feature_to_line); null for others. Holes aren't held, so there are no interior rings."""
+    return F.when(g["type"] == "Polygon", geometry("LineString", g["parts"]))
+
+
+def line_to_polygon(g: Column) -> Column:
+    return F.when(simple_kind(g) == "LineString", geometry("Polygon", F.transform(g["parts"], closed)))
+
+
+def feature_to_polygon(g: Column, radius: float = 0.0001) -> Column:
+    """A circle about a point, a line closed, a polygon as it is."""
+    v = vertices(g)[0]
+    return F.when(g["type"] == "Point", circle(v["x"], v["y"], radius, 32)).when(g["type"] == "LineString", line_to_polygon(g)).otherwise(g)
+
+
+def feature_to_point(g: Column) -> Column:
+    return geometry("Point", F.array(F.array(centroid(g))))
+
+
+def points_to_line(points: Column) -> Column:
+    """A line through an array of points, in order."""
+    return geometry("LineString", F.array(F.transform(points, lambda p: vertices(p)[0])))
+
+
+def geometry_n(g: Column, n: int) -> Column:
+    """Part n from 0, or null."""
+    return F.get(parts(g), F.lit(n))
+
+
+def n_parts(g: Column) -> Column:
+    return F.size(g["parts"])
+
+
+def is_empty(g: Column) -> Column:
+    return g.isNull() | (F.size(vertices(g)) == 0)
+
+
+def validity_reason(g: Column) -> Column:
+    found = issues(g)
+    return F.when(F.size(found) == 0, "Valid").otherwise(F.array_join(found, ", "))
+
+
+def hashed(g: Column) -> Column:
+    """A hash of the normal form, for finding equal geometries."""
+    return F.sha2(F.to_json(normalize(g)), 256)
+
+
+def canonical(g: Column) -> Column:
+    """Rings counter-clockwise from their least vertex, lines from their lesser end, parts sorted."""
+
+    def ring(r: Column) -> Column:
+        open_ = F.slice(F.when(_twice_area(r) < 0, F.reverse(r)).otherwise(r), F.lit(1), F.size(r) - 1)
+        at = F.array_position(open_, F.array_min(open_)).cast("int")
+        turned = F.concat(F.slice(open_, at, F.size(open_)), F.slice(open_, F.lit(1), at - 1))
+        return F.concat(turned, F.array(turned[0]))
+
+    k = simple_kind(g)
+    ways = lambda p: F.when(F.struct(F.element_at(p, -1)) < F.struct(p[0]), F.reverse(p)).otherwise(p)
+    several = F.when(k == "Polygon", F.transform(normalize(g)["parts"], ring)).when(k == "LineString", F.transform(g["parts"], ways)).otherwise(g["parts"])
+    return geometry(g["type"], F.array_sort(several))
+
+
+def without_repeats(g: Column, tolerance: float = 0.0) -> Column:
+    """Without vertices that lie within tolerance of the one kept before."""
+
+    def step(kept: Column, v: Column) -> Column:
+        last = F.element_at(kept, -1)
+        near = F.sqrt(F.pow(last["x"] - v["x"], 2) + F.pow(last["y"] - v["y"], 2)) <= tolerance
+        return F.when(near, kept).otherwise(F.concat(kept, F.array(v)))
+
+    return geometry(g["type"], F.transform(g["parts"], lambda p: F.aggregate(F.slice(p, F.lit(2), F.size(p)), F.array(p[0]), step)))
+
+
+def precision(g: Column, most: int = 12) -> Column:
+    """The fewest decimals that all coordinates keep."""
+    fits = lambda d: F.forall(vertices(g), lambda v: (F.abs(v["x"] - F.round(v["x"], d)) < 1e-12) & (F.abs(v["y"] - F.round(v["y"], d)) < 1e-12))
+    out = F.lit(most)
+    for d in range(most - 1, -1, -1):
+        out = F.when(fits(d), F.lit(d)).otherwise(out)
+    return out
+
+
+def projective(g: Column, m: list[list[float]]) -> Column:
+    """By a 3 x 3 matrix."""
+
+    def go(x: Column, y: Column):
+        w = x * m[2][0] + y * m[2][1] + m[2][2]
+        return (x * m[0][0] + y * m[0][1] + m[0][2]) / w, (x * m[1][0] + y * m[1][1] + m[1][2]) / w
+
+    return mapped(g, go)
+
+
+def rubber_sheet(g: Column, controls: list[tuple[tuple[float, float], tuple[float, float]]]) -> Column:
+    """Vertices shifted by the controls' shifts, weighted by inverse squared distance."""
+
+    def go(x: Column, y: Column):
+        w = [1 / (F.pow(x - a[0], 2) + F.pow(y - a[1], 2) + 1e-12) for a, _ in controls]
+        total = sum(w, F.lit(0.0))
+        return tuple(v + sum((wi * (b[k] - a[k]) for wi, (a, b) in zip(w, controls, strict=True)), F.lit(0.0)) / total for k, v in enumerate((x, y)))
+
+    return mapped(g, go)
+
+
+def smoothed(g: Column, rounds: int = 1) -> Column:
+    """Corner cutting: each side gives its quarter points; lines keep their ends."""
+    quarter = lambda s, t: xy(s["a"]["x"] + (s["b"]["x"] - s["a"]["x"]) * t, s["a"]["y"] + (s["b"]["y"] - s["a"]["y"]) * t)
+
+    def once(p: Column, ring: Column) -> Column:
+        cut = F.flatten(F.transform(_sides(p), lambda s: F.array(quarter(s, 0.25), quarter(s, 0.75))))
+        return F.when(ring, F.concat(cut, F.array(cut[0]))).otherwise(F.concat(F.array(p[0]), cut, F.array(F.element_at(p, -1))))
+
+    ring, out = simple_kind(g) == "Polygon", g
+    for _ in range(rounds):
+        out = F.when(simple_kind(g) == "Point", out).otherwise(geometry(g["type"], F.transform(out["parts"], lambda p: once(p, ring))))
+    return out
+
+
+# Along lines.
+
+
+def substring(g: Column, start: float, end: float) -> Column:
+    """The part of a line between two shares of its length."""
+    v = segments(g)
+    sides = F.transform(v, lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), F.sqrt(F.pow(s["a"]["x"] - s["b"]["x"], 2) + F.pow(s["a"]["y"] - s["b"]["y"], 2)).alias("n")))
+    total = _sum(F.transform(sides, lambda s: s["n"]))
+    lo, hi = total * start, total * end
+    state = F.struct(F.lit(0.0).alias("at"), F.slice(F.array(vertices(g)[0]), 1, 0).alias("out"))
+
+    def step(m: Column, s: Column) -> Column:
+        past = m["at"] + s["n"]
+        inside = (past > lo) & (m["at"] < hi)
+        there = lambda d: xy(s["a"]["x"] + (s["b"]["x"] - s["a"]["x"]) * d / s["n"], s["a"]["y"] + (s["b"]["y"] - s["a"]["y"]) * d / s["n"])
+        first, last = there(F.greatest(lo - m["at"], F.lit(0.0))), there(F.least(hi - m["at"], s["n"]))
+        kept = F.when(F.size(m["out"]) == 0, F.array(first, last)).otherwise(F.concat(m["out"], F.array(last)))
+        return F.struct(past.alias("at"), F.when(inside, kept).otherwise(m["out"]).alias("out"))
+
+    return geometry("LineString", F.array(F.aggregate(sides, state, step)["out"]))
+
+
+def located_share(g: Column, x: Column, y: Column) -> Column:
+    """The share of a line's length at the point nearest to a place."""
+    return F.when(length(g) > 0, located(g, x, y)["measure"] / length(g)).otherwise(F.lit(0.0))
+
+
+def split_at(g: Column, share: float) -> Column:
+    """The two lines before and after a share of the length."""
+    return F.array(substring(g, 0.0, share), substring(g, share, 1.0))
+
+
+def points_along(g: Column, count: int) -> Column:
+    """count points at even shares, both ends included."""
+    return F.array(*[interpolated(g, i / (count - 1) if count > 1 else 0.0) for i in range(count)])
+
+
+def points_every(g: Column, interval: float) -> Column:
+    """Points at multiples of an interval along a line, from 0."""
+    n = length(g)
+    return F.transform(F.sequence(F.lit(0), F.floor(n / interval).cast("int")), lambda i: interpolated(g, i * interval / n))
+
+
+def at_measure(g: Column, measure: Column, start: float = 0.0, end: float | None = None) -> Column:
+    """The place of a measure along a route whose measures run from start to end, by default its length."""
+    span = (length(g) if end is None else F.lit(float(end))) - start
+    return interpolated(g, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (measure - start) / span)))
+
+
+def event_line(g: Column, lo: Column, hi: Column) -> Column:
+    """The vertices of a route between two measures of its length: its ends there and the vertices between (dynamic segmentation)."""
+    n = length(g)
+    a, b = vertices(interpolated(g, lo / n))[0], vertices(interpolated(g, hi / n))[0]
+    before = F.transform(vertices(g), lambda v: F.struct(v.alias("v"), located(g, v["x"], v["y"])["measure"].alias("m")))
+    inner = F.transform(F.filter(before, lambda e: (e["m"] > lo) & (e["m"] < hi)), lambda e: e["v"])
+    return geometry("LineString", F.array(F.concat(F.array(a), inner, F.array(b))))
+
+
+def offset_line(g: Column, distance: float) -> Column:
+    """Each side moved to the left by a distance (to the right if negative), as a line through the moved ends."""
+
+    def moved(s: Column) -> Column:
+        dx, dy = s["b"]["x"] - s["a"]["x"], s["b"]["y"] - s["a"]["y"]
+        n = F.sqrt(dx * dx + dy * dy)
+        return F.array(xy(s["a"]["x"] - dy / n * distance, s["a"]["y"] + dx / n * distance), xy(s["b"]["x"] - dy / n * distance, s["b"]["y"] + dx / n * distance))
+
+    return geometry(g["type"], F.transform(g["parts"], lambda p: F.array_distinct(F.flatten(F.transform(_sides(p), moved)))))
+
+
+# Distances.
+
+
+def _segment_distance(p: Column, s: Column) -> Column:
+    dx, dy = s["b"]["x"] - s["a"]["x"], s["b"]["y"] - s["a"]["y"]
+    n2 = dx * dx + dy * dy
+    t = F.when(n2 > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((p["x"] - s["a"]["x"]) * dx + (p["y"] - s["a"]["y"]) * dy) / n2))).otherwise(F.lit(0.0))
+    return F.sqrt(F.pow(p["x"] - s["a"]["x"] - t * dx, 2) + F.pow(p["y"] - s["a"]["y"] - t * dy, 2))
+
+
+def _all_sides(g: Column) -> Column:
+    """Sides, or for points sides of no length."""
+    return F.flatten(F.transform(g["parts"], lambda p: F.when(F.size(p) > 1, _sides(p)).otherwise(F.array(F.struct(p[0].alias("a"), p[0].alias("b"))))))
+
+
+def least_distance(a: Column, b: Column) -> Column:
+    """Between the nearest points of two geometries, 0 if they meet."""
+    one = lambda x, y: F.array_min(F.transform(vertices(x), lambda v: F.array_min(F.transform(_all_sides(y), lambda s: _segment_distance(v, s)))))
+    return F.when(intersects(a, b), F.lit(0.0)).otherwise(F.least(one(a, b), one(b, a)))
+
+
+def dwithin(a: Column, b: Column, distance: float) -> Column:
+    return least_distance(a, b) <= distance
+
+
+def hausdorff(a: Column, b: Column) -> Column:
+    """Of the vertices."""
+    d = lambda p, q: F.sqrt(F.pow(p["x"] - q["x"], 2) + F.pow(p["y"] - q["y"], 2))
+    one = lambda x, y: F.array_max(F.transform(vertices(x), lambda v: F.array_min(F.transform(vertices(y), lambda w: d(v, w)))))
+    return F.greatest(one(a, b), one(b, a))
+
+
+def frechet(a: Column, b: Column) -> Column:
+    """Discrete Fréchet distance of the vertices in order, a row of the table at a time."""
+    p, q = vertices(a), vertices(b)
+    d = lambda v, w: F.sqrt(F.pow(v["x"] - w["x"], 2) + F.pow(v["y"] - w["y"], 2))
+
+    def row(before: Column, v: Column) -> Column:
+        def cell(out: Column, w: Column) -> Column:
+            j = F.size(out)
+            here = d(v, w)
+            up, left, diagonal = F.get(before, j), F.element_at(out, -1), F.get(before, j - 1)
+            reach = F.when(F.size(before) == 0, F.when(j == 0, here).otherwise(F.greatest(here, left))).when(j == 0, F.greatest(here, up)).otherwise(F.greatest(here, F.least(up, left, diagonal)))
+            return F.concat(out, F.array(reach))
+
+        return F.aggregate(q, F.array().cast("array<double>"), cell)
+
+    return F.element_at(F.aggregate(p, F.array().cast("array<double>"), row), -1)
+
+
+def touches(a: Column, b: Column) -> Column:
+    """Whether they meet, but no inner vertex or middle of a side of one lies strictly within the other, nor do sides cross. Two points never touch."""
+    ka, kb = simple_kind(a), simple_kind(b)
+    inner = lambda x, y, kx, ky: ((ky == "Polygon") | ((ky == "LineString") & (kx != "Polygon"))) & F.exists(_probe(x), lambda v: _strictly_in(v, y))
+    return intersects(a, b) & ~((ka == "Point") & (kb == "Point")) & ~inner(a, b, ka, kb) & ~inner(b, a, kb, ka) & ~_sides_cross(a, b)
+
+
+def _probe(g: Column) -> Column:
+    """Vertices (of lines without their ends), middles of sides and, for polygons, the centroid."""
+    mids = F.transform(segments(g), lambda s: xy((s["a"]["x"] + s["b"]["x"]) / 2, (s["a"]["y"] + s["b"]["y"]) / 2))
+    own = F.flatten(F.transform(g["parts"], lambda p: F.when(simple_kind(g) == "LineString", F.slice(p, F.lit(2), F.size(p) - 2)).otherwise(p)))
+    return F.concat(own, mids, F.when(simple_kind(g) == "Polygon", F.array(centroid(g))).otherwise(F.slice(own, 1, 0)))
+
+
+def _strictly_in(v: Column, g: Column) -> Column:
+    ring = simple_kind(g) == "Polygon"
+    return F.when(ring, F.exists(g["parts"], lambda p: _in_ring(v, p) & ~F.exists(_sides(p), lambda s: _on(v, s)))).when(
+        simple_kind(g) == "LineString", F.exists(g["parts"], lambda p: F.exists(_sides(p), lambda s: _on(v, s)) & (v != p[0]) & (v != F.element_at(p, -1)))
+    ).otherwise(F.exists(vertices(g), lambda w: v == w))
+
+
+def _sides_cross(a: Column, b: Column) -> Column:
+    """Whether two sides have an inner point of both in common."""
+
+    def proper(s: Column, t: Column) -> Column:
+        apart = lambda x, y: ((x > TOLERANCE) & (y < -TOLERANCE)) | ((x < -TOLERANCE) & (y > TOLERANCE))
+        return apart(_cross(s["a"], s["b"], t["a"]), _cross(s["a"], s["b"], t["b"])) & apart(_cross(t["a"], t["b"], s["a"]), _cross(t["a"], t["b"], s["b"]))
+
+    return F.exists(segments(a), lambda s: F.exists(segments(b), lambda t: proper(s, t)))
+
+
+def crosses(a: Column, b: Column) -> Column:
+    """A line that lies partly in and partly out of a polygon, or two lines whose sides cross."""
+    ka, kb = simple_kind(a), simple_kind(b)
+    part = lambda line_, area_: intersects(line_, area_) & ~within(line_, area_) & (_sides_cross(line_, area_) | F.exists(vertices(line_), lambda v: _strictly_in(v, area_)))
+    return F.when((ka == "LineString") & (kb == "Polygon"), part(a, b)).when((ka == "Polygon") & (kb == "LineString"), part(b, a)).when((ka == "LineString") & (kb == "LineString"), _sides_cross(a, b)).otherwise(F.lit(False))
+
+
+def overlaps(a: Column, b: Column) -> Column:
+    """Geometries of one kind that share inner points, neither within the other."""
+    inner = F.exists(_probe(a), lambda v: _strictly_in(v, b)) | F.exists(_probe(b), lambda v: _strictly_in(v, a)) | _sides_cross(a, b)
+    return (simple_kind(a) == simple_kind(b)) & inner & ~within(a, b) & ~within(b, a)
+
+
+def contains_properly(a: Column, b: Column) -> Column:
+    """Whether all of b lies strictly within a."""
+    return F.forall(vertices(b), lambda v: _strictly_in(v, a)) & ~_sides_cross(a, b)
+
+
+PREDICATES |= {"touches": touches, "crosses": crosses, "overlaps": overlaps, "contains_properly": contains_properly}
+
+
+# Figures.
+
+
+def ellipse(x: Column, y: Column, major: float | Column, minor: float | Column, degrees: float = 0.0, sides: int = 72) -> Column:
+    step, c, s = 2 * 3.141592653589793 / sides, F.cos(F.radians(F.lit(float(degrees)))), F.sin(F.radians(F.lit(float(degrees))))
+
+    def at(i: Column) -> Column:
+        u, v = F.cos((i % sides) * step) * major, F.sin((i % sides) * step) * minor
+        return xy(x + u * c - v * s, y + u * s + v * c)
+
+    return geometry("Polygon", F.array(F.transform(F.sequence(F.lit(0), F.lit(sides)), at)))
+
+
+def arc(x: Column, y: Column, radius: float | Column, start: float, end: float, sides: int = 32) -> Column:
+    """A line along a circle from one angle to another (degrees, counter-clockwise from x)."""
+    step = (end - start) / sides
+    return geometry("LineString", F.array(F.transform(F.sequence(F.lit(0), F.lit(sides)), lambda i: xy(x + F.cos(F.radians(i * step + start)) * radius, y + F.sin(F.radians(i * step + start)) * radius))))
+
+
+def spiral(x: Column, y: Column, start: float = 0.0, end: float = 1.0, turns: float = 1.0, sides: int = 64) -> Column:
+    r = lambda i: i / sides * (end - start) + start
+    return geometry("LineString", F.array(F.transform(F.sequence(F.lit(0), F.lit(sides)), lambda i: xy(x + F.cos(i / sides * (2 * 3.141592653589793 * turns)) * r(i), y + F.sin(i / sides * (2 * 3.141592653589793 * turns)) * r(i)))))
+
+
+def bezier(controls: list[tuple[Column, Column]], sides: int = 64) -> Column:
+    """A line along the curve of control points, by Bernstein's polynomials."""
+    from math import comb
+
+    n = len(controls) - 1
+
+    def at(i: Column) -> Column:
+        t = i / sides
+        w = [F.pow(1 - t, F.lit(n - k)) * F.pow(t, F.lit(k)) * comb(n, k) for k in range(n + 1)]
+        return xy(sum((wk * p[0] for wk, p in zip(w, controls, strict=True)), F.lit(0.0)), sum((wk * p[1] for wk, p in zip(w, controls, strict=True)), F.lit(0.0)))
+
+    return geometry("LineString", F.array(F.transform(F.sequence(F.lit(0), F.lit(sides)), at)))
+
+
+def rings(x: Column, y: Column, distances: list[float], sides: int = 64) -> Column:
+    """Circles at several distances (multi-ring buffers of a point)."""
+    return F.array(*[circle(x, y, d, sides) for d in distances])
+
+
+def bounding_circle(g: Column) -> Column:
+    """x, y and radius of a circle about the bounds' centre through the farthest vertex."""
+    far = lambda c: F.array_max(F.transform(vertices(g), lambda v: F.sqrt(F.pow(v["x"] - c["x"], 2) + F.pow(v["y"] - c["y"], 2))))
+    middle = let(bounds(g), lambda b: xy((b["min_x"] + b["max_x"]) / 2, (b["min_y"] + b["max_y"]) / 2))
+    return let(middle, lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"), far(c).alias("radius")))
+
+
+def rotated_rectangle(g: Column) -> Column:
+    """The rectangle of least area about the hull, one of its sides along a side of the hull: area, width, height and degrees."""
+
+    def box(h: Column, a: Column) -> Column:
+        us = F.transform(vertices(h), lambda v: v["x"] * F.cos(a) + v["y"] * F.sin(a))
+        vs = F.transform(vertices(h), lambda v: v["y"] * F.cos(a) - v["x"] * F.sin(a))
+        size = F.struct((F.array_max(us) - F.array_min(us)).alias("w"), (F.array_max(vs) - F.array_min(vs)).alias("t"))
+        return let(size, lambda z: F.struct((z["w"] * z["t"]).alias("area"), z["w"].alias("width"), z["t"].alias("height"), F.degrees(a).alias("degrees")))
+
+    angle = lambda s: F.atan2(s["b"]["y"] - s["a"]["y"], s["b"]["x"] - s["a"]["x"])
+    return let(convex_hull(g), lambda h: F.array_min(F.transform(F.transform(segments(h), angle), lambda a: box(h, a))))
+
+
+# Places on the sphere.
+
+EARTH_M = 6371008.8
+
+
+def geodesic_bearing(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
+    a, b, d = F.radians(lat1), F.radians(lat2), F.radians(lon2 - lon1)
+    return F.pmod(F.degrees(F.atan2(F.sin(d) * F.cos(b), F.cos(a) * F.sin(b) - F.sin(a) * F.cos(b) * F.cos(d))), F.lit(360.0))
+
+
+def _haversine_m(a: Column, b: Column) -> Column:
+    h = F.pow(F.sin(F.radians(b["y"] - a["y"]) / 2), 2) + F.cos(F.radians(a["y"])) * F.cos(F.radians(b["y"])) * F.pow(F.sin(F.radians(b["x"] - a["x"]) / 2), 2)
+    return 2 * EARTH_M * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+
+
+def geodesic_length(g: Column) -> Column:
+    """Metres along lines of longitudes and latitudes."""
+    return _sum(F.transform(segments(g), lambda s: _haversine_m(s["a"], s["b"])))
+
+
+def geodesic_area(g: Column) -> Column:
+    """Square metres of rings on the sphere."""
+    side = lambda s: F.radians(s["b"]["x"] - s["a"]["x"]) * (2 + F.sin(F.radians(s["a"]["y"])) + F.sin(F.radians(s["b"]["y"])))
+    return _sum(F.transform(g["parts"], lambda p: F.abs(_sum(F.transform(_sides(p), side))) * (EARTH_M * EARTH_M / 2)))
+
+
+def destination(lon: Column, lat: Column, bearing: Column, metres: Column) -> Column:
+    """x and y of the place at a bearing and distance on the sphere."""
+    d, b, p = metres / EARTH_M, F.radians(bearing), F.radians(lat)
+    to = F.asin(F.sin(p) * F.cos(d) + F.cos(p) * F.sin(d) * F.cos(b))
+    return xy(lon + F.degrees(F.atan2(F.sin(b) * F.sin(d) * F.cos(p), F.cos(d) - F.sin(p) * F.sin(to))), F.degrees(to))
+
+
+def geodesic_circle(lon: Column, lat: Column, metres: float, sides: int = 72) -> Column:
+    at = lambda i: destination(lon, lat, (i % sides) * (360.0 / sides), F.lit(float(metres)))
+    return geometry("Polygon", F.array(F.transform(F.sequence(F.lit(0), F.lit(sides)), at)))
+
+
+_BASE32 = "0123456789bcdefghjkmnpqrstuvwxyz"
+
+
+def geohash(lon: Column, lat: Column, digits: int = 12) -> Column:
+    """Interleaves the bits of longitude and latitude, five a digit."""
+    bits = digits * 5
+    nx, ny = (bits + 1) // 2, bits // 2
+    x = F.least(F.floor((lon + 180) / 360 * float(1 << nx)), F.lit((1 << nx) - 1)).cast("long")
+    y = F.least(F.floor((lat + 90) / 180 * float(1 << ny)), F.lit((1 << ny) - 1)).cast("long")
+    out = []
+    for d in range(digits):
+        value = F.lit(0)
+        for k in range(5):
+            i = d * 5 + k
+            source, left = (x, nx - 1 - i // 2) if i % 2 == 0 else (y, ny - 1 - i // 2)
+            value = value * 2 + F.shiftright(source, left).bitwiseAND(F.lit(1)).cast("int")
+        out.append(F.substring(F.lit(_BASE32), value + 1, F.lit(1)))
+    return F.concat(*out)
+
+
+def wkb(g: Column) -> Column:
+    """Little-endian well-known binary of a geometry, by an Arrow-batched function."""
+
+    @F.pandas_udf("binary")
+    def go(kinds, several):
+        import struct
+
+        import pandas as pd
+
+        def one(kind, rings_):
+            pair = lambda p: struct.pack("<dd", p["x"], p["y"])
+            seq = lambda r: struct.pack("<I", len(r)) + b"".join(map(pair, r))
+            base = kind.removeprefix("Multi")
+            simple = {"Point": lambda r: struct.pack("<BI", 1, 1) + pair(r[0]), "LineString": lambda r: struct.pack("<BI", 1, 2) + seq(r), "Polygon": lambda r: struct.pack("<BII", 1, 3, 1) + seq(r)}[base]
+            if kind == base:
+                return simple(rings_[0])
+            return struct.pack("<BII", 1, {"Point": 4, "LineString": 5, "Polygon": 6}[base], len(rings_)) + b"".join(simple(r) for r in rings_)
+
+        return pd.Series([None if k is None or p is None else one(k, p) for k, p in zip(kinds, several, strict=True)])
+
+    return go(g["type"], g["parts"])
+
+
+def from_wkb(data: Column) -> Column:
+    """Geometry of little- or big-endian well-known binary; holes are dropped; null for what isn't one of the six kinds."""
+
+    @F.pandas_udf(GEOMETRY)
+    def go(blobs):
+        import struct
+
+        import pandas as pd
+
+        names = {1: "Point", 2: "LineString", 3: "Polygon", 4: "MultiPoint", 5: "MultiLineString", 6: "MultiPolygon"}
+
+        def read(b, at):
+            e = "<" if b[at] == 1 else ">"
+            kind = struct.unpack_from(e + "I", b, at + 1)[0]
+            at += 5
+
+            def seq(at):
+                n = struct.unpack_from(e + "I", b, at)[0]
+                v = struct.unpack_from(f"{e}{2 * n}d", b, at + 4)
+                return [{"x": v[i], "y": v[i + 1]} for i in range(0, 2 * n, 2)], at + 4 + 16 * n
+
+            if kind == 1:
+                x, y = struct.unpack_from(e + "dd", b, at)
+                return kind, [[{"x": x, "y": y}]], at + 16
+            if kind == 2:
+                line_, at = seq(at)
+                return kind, [line_], at
+            n = struct.unpack_from(e + "I", b, at)[0]
+            at += 4
+            out = []
+            for i in range(n):
+                if kind == 3:
+                    ring, at = seq(at)
+                    out += [ring] if i == 0 else []
+                else:
+                    _, some, at = read(b, at)
+                    out += some
+            return kind, out, at
+
+        rows = []
+        for blob in blobs:
+            try:
+                kind, several, _ = read(bytes(blob), 0)
+                rows.append({"type": names[kind], "parts": several})
+            except (TypeError, KeyError, struct.error, IndexError):
+                rows.append({"type": None, "parts": None})
+        return pd.DataFrame(rows, columns=["type", "parts"])
+
+    got = go(data)
+    return F.when(got["type"].isNotNull(), got)
+
+
+def simplified(g: Column, tolerance: float) -> Column:
+    """Lines and rings without the vertices that lie within tolerance of the line through those kept (Douglas and Peucker), by an Arrow-batched function."""
+
+    @F.pandas_udf("array<array<struct<x:double,y:double>>>")
+    def go(several):
+        import numpy as np
+        import pandas as pd
+
+        def one(line_):
+            v = np.array([(p["x"], p["y"]) for p in line_])
+            keep, todo = {0, len(v) - 1}, [(0, len(v) - 1)]
+            while todo:
+                a, b = todo.pop()
+                if b - a < 2:
+                    continue
+                d = v[b] - v[a]
+                n = np.hypot(*d)
+                w = v[a + 1 : b] - v[a]
+                far = np.abs(d[0] * w[:, 1] - d[1] * w[:, 0]) / n if n > 0 else np.hypot(w[:, 0], w[:, 1])
+                k = int(far.argmax())
+                if far[k] > tolerance:
+                    m = a + 1 + k
+                    keep.add(m)
+                    todo += [(a, m), (m, b)]
+            return [line_[i] for i in sorted(keep)]
+
+        return pd.Series([None if s is None else [one(list(p)) for p in s] for s in several])
+
+    return F.when(simple_kind(g) == "Point", g).otherwise(geometry(g["type"], go(g["parts"])))
