@@ -60,12 +60,24 @@ class Model:
 
 
 def codewords(n: int, bits: int, seed: int = 7) -> np.ndarray:
-    """n codewords of -1 and 1, far from each other: the best of some random draws with balanced, distinct bits."""
+    """n codewords of -1 and 1, far from each other. No bit repeats another or its opposite, so each classifier tells something of its own.
+
+    If there are no more than bits ways to split the languages in two, all of them, so that any two words differ in half of
+    them or more; else the best of some random draws of splits, balanced ones past seven languages.
+    """
     if n < 2:
         return np.ones((n, 1))
+    if n < 32 and (1 << (n - 1)) - 1 <= bits:
+        # The last language is always on one side; every choice of the others but none of them.
+        return np.array([[1.0 if split >> i & 1 else -1.0 for split in range(1, 1 << (n - 1))] for i in range(n)])
     rng, best, far = np.random.default_rng(seed), None, -1.0
     for _ in range(200):
-        code = np.where(np.argsort(rng.random((bits, n)), axis=1) < (n + 1) // 2, 1.0, -1.0).T * rng.choice([-1.0, 1.0], bits)
+        seen: dict[bytes, np.ndarray] = {}
+        while len(seen) < bits:
+            # Few languages have too few balanced splits; then any split will do.
+            split = np.where(np.argsort(rng.random(n)) < ((n + 1) // 2 if n > 7 else rng.integers(1, n)), 1.0, -1.0)
+            seen.setdefault((split * split[0]).tobytes(), split)
+        code = np.array(list(seen.values())).T
         apart = float(((bits - code @ code.T) / 2)[np.tril_indices(n, -1)].min()) / bits
         if apart > far:
             best, far = code, apart
@@ -111,11 +123,16 @@ def training_sample(docs: DataFrame, labelled: str, per_lang: int, id_col: str,
     per_lang = min(per_lang, max(1, FULL_LANGS * per_lang // langs))
     share = counts.select(F.col("lang").alias("of"), F.greatest(F.ceil(F.lit(per_lang * million) / F.col("n")), F.col("least") + 1).alias("share"))
     picked = rows.join(small(share, 64, langs), F.col("lang") == F.col("of")).filter("pick < share")
-    return [(r[0], r[1]) for r in picked.select("text", "lang").limit(2 * per_lang * langs).collect()]
+    # Past the bound, which hashes make unlikely, those of least hash.
+    return [(r[0], r[1]) for r in picked.orderBy("pick", "lang", "text").select("text", "lang").limit(2 * per_lang * langs).collect()]
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", ambiguous_below: float = 0.2) -> DataFrame:
-    """docs with lang_pred, score and ambiguous. A text that is null or has no letter is "und" with score 0, as is any if nothing was learned."""
+    """docs with lang_pred, score and ambiguous. A text that is null or has no letter is "und" with score 0, as is any if nothing was learned.
+
+    Texts of any length are counted whole. Rows don't depend on each other, so equal rows and ids, or null ids, change nothing;
+    a column of docs that is named like a result gives way to it.
+    """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
