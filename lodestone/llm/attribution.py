@@ -28,6 +28,17 @@ def line_sections(text: str, most: int) -> np.ndarray:
     return np.array(out, dtype=np.int64).reshape(-1, 2)
 
 
+def apart(spans: list[tuple[int | None, int | None]]) -> np.ndarray:
+    """Sections in order that don't overlap; those without a start, an end or a character left have no tokens but stay."""
+    rows, end = [], 0
+    for a, b in sorted((0 if a is None else a, 0 if b is None else b) for a, b in spans):
+        a = max(a, end)
+        b = max(a, b)
+        rows.append((a, b))
+        end = b
+    return np.array(rows, np.int64).reshape(-1, 2)
+
+
 def allocate(tokens: np.ndarray, sections: np.ndarray, rule: str = "largest") -> tuple[np.ndarray, np.ndarray, int]:
     """Tokens of each section, those of them that cross a boundary, and tokens outside every section. Both inputs in order, sections apart."""
     n = len(sections)
@@ -50,8 +61,11 @@ def allocate(tokens: np.ndarray, sections: np.ndarray, rule: str = "largest") ->
 def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", rule: str = "largest", most_chars: int = 1000, spans_col: str | None = None) -> DataFrame:
     """doc_id, section (from 0), start_char, end_char, n_tokens, n_crossing: a row for each section of each document.
 
+    Tokens that touch no section are counted in a row of section -1 with null characters, so that sums are the documents' own.
+
     Sections are lines, cut after most_chars characters, or, with spans_col, that column's array of structs of two integers
-    (in order and apart). A text that is null, empty or without sections gives no row; equal ids stay rows of their own.
+    (sorted here; where two overlap the later one starts at the end of the one before). A text that is null or empty gives
+    only rows of its given sections; equal ids stay rows of their own. Texts may be of any length.
     """
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}")
@@ -66,15 +80,17 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 texts = part.column(1).to_pylist()
-                given = [np.array([tuple(x.values()) for x in s or []], np.int64).reshape(-1, 2) for s in part.column(2).to_pylist()] if spans_col else [line_sections(x or "", most_chars) for x in texts]
+                given = [apart([tuple(x.values()) for x in s or [] if x is not None]) for s in part.column(2).to_pylist()] if spans_col else [line_sections(x or "", most_chars) for x in texts]
                 sums = [allocate(t, s, rule) for t, s in zip(encode.char_spans(texts), given, strict=True)]
-                many = np.array([len(s) for s in given])
-                if not many.sum():
-                    continue
-                ids = keys.slice(at, 1000).take(pa.array(np.repeat(np.arange(len(many)), many)))
-                spans = np.concatenate(given)
-                cols = [np.concatenate([np.arange(n) for n in many]), spans[:, 0], spans[:, 1], np.concatenate([x[0] for x in sums]), np.concatenate([x[1] for x in sums])]
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in cols)], names)
+                many, outside = np.array([len(s) for s in given]), np.array([x[2] for x in sums])
+                ids = keys.slice(at, 1000)
+                if many.sum():
+                    spans = np.concatenate(given)
+                    cols = [np.concatenate([np.arange(n) for n in many]), spans[:, 0], spans[:, 1], np.concatenate([x[0] for x in sums]), np.concatenate([x[1] for x in sums])]
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(len(many)), many))), *(pa.array(x, pa.int64()) for x in cols)], names)
+                if len(lost := np.flatnonzero(outside)):
+                    none = pa.nulls(len(lost), pa.int64())
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(lost)), pa.array(np.full(len(lost), -1)), none, none, pa.array(outside[lost]), pa.array(np.zeros(len(lost), np.int64))], names)
         released()
 
     bounded_batches(docs.sparkSession)
