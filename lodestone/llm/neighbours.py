@@ -23,7 +23,7 @@ class CollisionIndex:
     The defaults are for vectors with hardly any structure, whose nearest rows are not much nearer than the others.
     """
 
-    def __init__(self, rows: np.ndarray, lines: int = 64, share: float = 0.7, verify: float = 0.25, least: int = 1024, width: float = 0.9, seed: int = 5):
+    def __init__(self, rows: np.ndarray, lines: int = 64, share: float = 0.7, verify: float = 0.25, least: int = 256, width: float = 0.9, seed: int = 5):
         self.rows, self.share, self.verify, self.least = rows, share, verify, least
         norm2 = (rows * rows).sum(axis=1)
         self.most = float(norm2.max())
