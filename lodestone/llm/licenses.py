@@ -39,7 +39,38 @@ SINGLE = [
     ("mpl-2", "mozilla public license (?:version |v )?2(?: 0)?", "mozilla", 1, 1.0), ("cc-by", "cc by(?: [1-4](?: [05])?)?", "cc by", 3, 0.9), ("cc-by-sa", "cc by sa(?: [1-4](?: [05])?)?", "cc by", 2, 0.95), ("cc-by-nc", "cc by nc(?: [1-4](?: [05])?)?", "cc by", 2, 0.95),
     ("cc-by-nd", "cc by nd(?: [1-4](?: [05])?)?", "cc by", 2, 0.95), ("cc-by-nc-sa", "cc by nc sa(?: [1-4](?: [05])?)?", "cc by", 1, 1.0), ("cc-by-nc-nd", "cc by nc nd(?: [1-4](?: [05])?)?", "cc by", 1, 1.0), ("cc0", "cc0(?: 1 0)?(?: universal)?", "cc0", 2, 0.95),
     ("all-rights-reserved", "all rights reserved", "rights reserved", 4, 0.8), ("public-domain", "(?:released into |dedicated to |in )?the public domain", "public domain", 4, 0.7), ("copyright", "copyright(?: c)? (?:19|20)[0-9]{{2}}", "copyright", 6, 0.5),
-    ("proprietary", "proprietary and confidential", "proprietary", 3, 0.9), ("no-warranty", "without warranty of any kind", "warranty", 6, 0.4), ("spdx", "spdx licen[sc]e identifier [0-9a-z]+(?: [0-9a-z]+){{0,3}}", "spdx", 1, 1.0), ("other", "licen[sc]ed under", "under", 9, 0.3),
+    ("proprietary", "proprietary and confidential", "proprietary", 3, 0.9), ("no-warranty", "without warranty of any kind", "warranty", 6, 0.4), ("spdx", "spdx licen[sc]e identifier", "spdx", 8, 0.5),
+]
+#: Identifiers after "SPDX-License-Identifier:", in words: label and expression.
+SPDX = [
+    ("mit", "mit"), ("apache-2", "apache 2 0"), ("gpl-2", "gpl 2 0(?: only| or later)?"), ("gpl-3", "gpl 3 0(?: only| or later)?"), ("lgpl", "lgpl (?:2 [01]|3 0)(?: only| or later)?"), ("agpl", "agpl 3 0(?: only| or later)?"),
+    ("fdl", "gfdl 1 [123](?: only| or later)?"), ("bsd-2", "bsd 2 clause"), ("bsd-3", "bsd 3 clause"), ("isc", "isc"), ("mpl-2", "mpl 2 0"), ("epl", "epl [12] 0"), ("cddl", "cddl 1 [01]"), ("cpl", "cpl 1 0"), ("eupl", "eupl 1 [12]"),
+    ("artistic", "artistic [12] 0"), ("zlib", "zlib"), ("boost", "bsl 1 0"), ("wtfpl", "wtfpl"), ("unlicense", "unlicense"), ("openssl", "openssl"), ("php", "php 3 01?"), ("python", "(?:psf|python) 2 0"), ("ruby", "ruby"), ("postgresql", "postgresql"),
+    ("odbl", "odbl 1 0"), ("ofl", "ofl 1 1"), ("osl", "osl 3 0"), ("afl", "afl 3 0"), ("ncsa", "ncsa"), ("ms-pl", "ms pl"), ("ms-rl", "ms rl"), ("apsl", "apsl 2 0"), ("ipl", "ipl 1 0"), ("qpl", "qpl 1 0"), ("lppl", "lppl 1 3c?"),
+    ("x11", "x11"), ("mulan", "mulanpsl 2 0"), ("bsl", "busl 1 1"), ("sspl", "sspl 1 0"), ("elastic", "elastic 2 0"), ("cc0", "cc0 1 0"), ("cc-by", "cc by [1-4] [05]"), ("cc-by-sa", "cc by sa [1-4] [05]"), ("cc-by-nc", "cc by nc [1-4] [05]"),
+    ("cc-by-nd", "cc by nd [1-4] [05]"), ("cc-by-nc-sa", "cc by nc sa [1-4] [05]"), ("cc-by-nc-nd", "cc by nc nd [1-4] [05]"),
+]
+#: Sentences that stand in licences and their notices, in words: label, expression, keyword, priority, confidence.
+SIGNATURES = [
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission", 1, 1.0), ("mit", "the above copyright notice and this permission notice shall be included in all copies", "copyright notice", 2, 0.9),
+    ("mit", "the software is provided as is without warranty of any kind express or implied", "warranty", 3, 0.8), ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission", 1, 1.0),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that", "redistribution", 2, 0.95), ("bsd-3", "neither the name of (?:the )?[^ ]+(?: [^ ]+)*? nor the names of its contributors may be used", "neither the name", 1, 1.0),
+    ("bsd-2", "redistributions of source code must retain the above copyright notice this list of conditions", "redistributions", 3, 0.8), ("apache-2", "you may not use this file except in compliance with the licen[sc]e", "compliance with", 1, 1.0),
+    ("apache-2", "distributed on an as is basis without warranties or conditions of any kind", "warranties", 2, 0.95), ("apache-2", "www apache org licenses license 2 0", "apache", 1, 1.0), ("apache", "licensed to the apache software foundation asf under one or more contributor license agreements", "apache", 1, 1.0),
+    ("gpl", "this program is free software you can redistribute it and or modify", "free software", 2, 0.9), ("gpl-2", "either version 2 of the licen[sc]e or at your option any later version", "version 2", 1, 1.0), ("gpl-3", "either version 3 of the licen[sc]e or at your option any later version", "version 3", 1, 1.0),
+    ("gpl", "you should have received a copy of the gnu general public license", "general public", 2, 0.9), ("lgpl", "you should have received a copy of the gnu lesser general public license", "lesser general", 1, 1.0), ("agpl", "you should have received a copy of the gnu affero general public license", "affero", 1, 1.0),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla", 1, 1.0), ("mpl", "the contents of this file are subject to the mozilla public license", "mozilla", 2, 0.95), ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", "eclipse", 1, 1.0),
+    ("cddl", "the contents of this file are subject to the terms of the common development and distribution license", "common development", 1, 1.0), ("eupl", "licensed under the eupl", "eupl", 1, 1.0), ("artistic", "the intent of this document is to state the conditions under which a package may be copied", "intent of this document", 1, 1.0),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", "in no event", 1, 1.0), ("zlib", "the origin of this software must not be misrepresented", "misrepresented", 2, 0.9), ("boost", "boost software license version 1 0", "boost", 1, 1.0),
+    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document", "verbatim", 2, 0.9), ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered", 1, 1.0),
+    ("openssl", "this product includes software developed by the openssl project", "openssl", 1, 1.0), ("php", "this product includes php software", "php", 1, 1.0), ("python", "psf license agreement for python", "python", 1, 1.0), ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee", "documentation for any", 1, 1.0),
+    ("odbl", "this data is made available under the open database license", "open database", 1, 1.0), ("ofl", "this font software is licensed under the sil open font license", "open font", 1, 1.0), ("osl", "licensed under the open software license version 3 0", "open software", 1, 1.0), ("ncsa", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal with", "deal with", 2, 0.8),
+    ("lppl", "this work may be distributed and or modified under the conditions of the latex project public license", "latex", 1, 1.0), ("x11", "except as contained in this notice the name of the x consortium shall not be used", "x consortium", 1, 1.0), ("bsl", "change date change license additional use grant", "change license", 2, 0.9),
+    ("sspl", "if you make the functionality of the program or a modified version available to third parties as a service", "as a service", 1, 1.0), ("elastic", "you may not provide the software to third parties as a hosted or managed service", "managed service", 1, 1.0),
+    ("cc0", "to the extent possible under law [^ ]+(?: [^ ]+)*? has waived all copyright", "waived", 1, 1.0), ("cc", "this work is licensed under a creative commons", "creative commons", 2, 0.95), ("cc", "creativecommons org licenses", "creativecommons", 2, 0.9), ("cc0", "creativecommons org publicdomain zero", "creativecommons", 1, 1.0),
+    ("cc-by", "creativecommons org licenses by [1-4]", "creativecommons", 1, 1.0), ("cc-by-sa", "creativecommons org licenses by sa", "creativecommons", 1, 1.0), ("cc-by-nc", "creativecommons org licenses by nc [1-4]", "creativecommons", 1, 1.0), ("cc-by-nd", "creativecommons org licenses by nd", "creativecommons", 1, 1.0),
+    ("public-domain", "no rights reserved", "rights reserved", 3, 0.8), ("public-domain", "this work is in the public domain", "public domain", 2, 0.9), ("proprietary", "unauthori[sz]ed copying of this file via any medium is strictly prohibited", "unauthori", 1, 1.0), ("proprietary", "this software is the confidential and proprietary information of", "proprietary", 1, 1.0),
+    ("proprietary", "may not be reproduced distributed or transmitted in any form", "may not be reproduced", 3, 0.8), ("proprietary", "for internal use only", "internal use", 5, 0.5),
 ]
 #: The base phrases, by label.
 BASE = {"apache": ("apache", "license"), "gpl": ("general", "public", "license"), "mit": ("mit", "license")}
@@ -52,6 +83,10 @@ def rules() -> list[tuple[str, str, str, int, float]]:
     """Label, expression on spaced words, keyword, priority, confidence of every rule, in order."""
     made = [(label, form.format(name), word, priority, sure) for form, priority, sure in FORMS for label, name, word in FAMILIES]
     made += [(label, x.format(), word, priority, sure) for label, x, word, priority, sure in SINGLE]
+    made += [(label, f"spdx licen[sc]e identifier {x}", "spdx", 1, 1.0) for label, x in SPDX] + SIGNATURES
+    # Any other licence: "licensed under" before none of the names known.
+    known = "|".join(sorted({name for _, name, _ in FAMILIES} | {"cc"}))
+    made.append(("other", f"licen[sc]ed under(?! (?:the |an? )?(?:terms of the )?(?:{known})(?: |$))", "under", 9, 0.3))
     return sorted(made, key=lambda r: r[3])
 
 
@@ -107,16 +142,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """id, n_words, n_base, first_word, last_word, base_labels, labels, score and detections for each row of docs.
 
     Base places are all counted, whatever the rules find; labels holds both. A null or empty text has no words. Rows don't
-    depend on each other, so equal rows and ids change nothing.
+    depend on each other, so equal rows and ids change nothing; texts may be of any length that a row holds.
     """
     table = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(f" (?:{x})(?= )").alias("expression"), F.lit(f" {word}").alias("keyword"), F.lit(priority).alias("priority"), F.lit(sure).alias("sure")) for label, x, word, priority, sure in rules()])
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     small = F.lower(text)
     gate = F.lit(False)
     # Every rule and base phrase holds one of these.
-    for word in ("licen", "copyright", "proprietary", "warranty"):
+    for word in ("licen", "copyright", "proprietary", "warrant", "creativecommons", "permission", "free", "misrepresent", "verbatim"):
         gate = gate | F.contains(small, F.lit(word))
-    gate = gate | small.rlike("spdx|rights[^a-z0-9]+reserved|public[^a-z0-9]+domain|cc0|cc[^a-z0-9]+by")
+    gate = gate | small.rlike("spdx|rights[^a-z0-9]+reserved|public[^a-z0-9]+domain|cc0|cc[^a-z0-9]+by|redistributi|unauthori|reproduced|internal[^a-z0-9]+use|x[^a-z0-9]+consortium|openssl|php[^a-z0-9]+software|service|intent")
 
     def looked(words: Column) -> Column:
         spaced = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
