@@ -1,6 +1,6 @@
 """Line-first cleaning, in DataFrame functions only.
 
-Each line is held against rules for punctuation, navigation and boilerplate; lines that fail go. A document that loses too
+Each line is held against rules for punctuation, fragments, navigation and boilerplate in four languages; lines that fail go. A document that loses too
 much of its text that way, or fails the base rules on words and repetition, is rejected.
 """
 
@@ -11,9 +11,26 @@ from pyspark.sql import functions as F
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-#: Phrases of boilerplate and navigation lines; matched without regard to case.
-BOILERPLATE = r"(?i)\b(?:all rights reserved|cookie (?:policy|settings|preferences)|privacy policy|terms (?:of use|of service|and conditions)|enable javascript|lorem ipsum|powered by|unsubscribe|click here|sign up for)\b"
-NAVIGATION = r"(?i)^\W*(?:home|menu|search|log ?in|log ?out|sign ?in|sign ?up|register|next|previous|prev|back to top|skip to (?:main )?content|share|tweet|print|read more|contact(?: us)?|about(?: us)?|site ?map|page \d+(?: of \d+)?)\W*$"
+#: Phrases of boilerplate lines and whole navigation lines, in English, German, French and Spanish (fixed values); matched without regard to case.
+BOILERPLATE_PHRASES = [
+    "all rights reserved", "cookie (?:policy|settings|preferences)", "privacy policy", "terms (?:of use|of service|and conditions)", "enable javascript", "lorem ipsum", "powered by", "unsubscribe", "click here", "sign up for",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "impressum", "cookie-?(?:richtlinie|einstellungen)", "hier klicken", "newsletter abonnieren", "javascript aktivieren",
+    "tous droits réservés", "politique de (?:confidentialité|cookies)", "mentions légales", "conditions (?:générales )?d.utilisation", "cliquez ici", "activer javascript", "se désabonner",
+    "todos los derechos reservados", "política de (?:privacidad|cookies)", "términos (?:de uso|y condiciones)", "aviso legal", "haga clic aquí", "active javascript", "darse de baja",
+]
+NAVIGATION_LINES = [
+    "home", "menu", "search", "log ?in", "log ?out", "sign ?in", "sign ?up", "register", "next", "previous", "prev", "back to top", "skip to (?:main )?content", "share", "tweet", "print", "read more", "contact(?: us)?", "about(?: us)?", "site ?map", r"page \d+(?: of \d+)?",
+    "startseite", "menü", "suche", "anmelden", "abmelden", "registrieren", "weiter", "zurück", "nach oben", "teilen", "drucken", "mehr lesen", "kontakt", "über uns", r"seite \d+(?: von \d+)?",
+    "accueil", "recherche", "connexion", "déconnexion", "suivant", "précédent", "haut de page", "partager", "imprimer", "lire la suite", "contactez-nous", "à propos", "plan du site",
+    "inicio", "buscar", "iniciar sesión", "cerrar sesión", "siguiente", "anterior", "volver arriba", "compartir", "imprimir", "leer más", "contacto", "acerca de", "mapa del sitio",
+]
+BOILERPLATE = r"(?i)(?<![a-z])(?:" + "|".join(BOILERPLATE_PHRASES) + r")(?![a-z])"
+NAVIGATION = r"(?i)^\W*(?:" + "|".join(NAVIGATION_LINES) + r")\W*$"
+#: A line of fewer words than this that ends in no mark of TERMINAL is a fragment. Boilerplate is looked for in lines up to BOILERPLATE_CHARS.
+FRAGMENT_WORDS, BOILERPLATE_CHARS = 4, 200
+TERMINAL = ".!?…:;)]}\"'”’»。！？"
+#: What isn't a letter or digit of a line: ASCII signs and common typographic ones.
+MARKS = SPACE + "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" + "\u00a0«»‹›“”„‚‘’–—…•·¡¿°"
 #: Share of a line's items, at the least, that separators cut into menu entries.
 SEPARATORS = "|»›•·"
 
@@ -55,16 +72,26 @@ def repeated_words(words: Column, run: int = 5) -> Column:
 
 
 def line_fails(line: Column) -> Column:
-    """Whether a line with a word goes: hardly a letter in it, symbols through and through, a menu, or boilerplate."""
-    letters = F.length(F.regexp_replace(line, r"[^\p{L}\p{N}]+", ""))
-    entries = count_of(line, SEPARATORS)
-    return (
-        (letters * 4 < F.length(F.translate(line, SPACE, "")))
-        | (count_of(line, SYMBOLS) * 4 >= letters)
-        | ((entries >= 3) & (entries * 24 >= letters))
-        | ((F.length(line) <= 40) & line.rlike(NAVIGATION))
-        | line.rlike(BOILERPLATE)
-    )
+    """Whether a line with a word goes: hardly a letter in it, symbols through and through, a fragment without an end, a menu, or boilerplate.
+
+    The costly tests come last and see only lines short enough for them.
+    """
+
+    def tests(x: Column) -> Column:
+        letters, bare = F.length(F.translate(x, MARKS, "")), F.length(F.translate(x, SPACE, ""))
+        entries = count_of(x, SEPARATORS)
+        # Short of FRAGMENT_WORDS words, so that a line of ordinary length isn't split.
+        fragment = (F.length(x) <= 60) & ~F.contains(F.lit(TERMINAL), F.right(x, F.lit(1))) & (F.size(F.split(x, r"[\x20\x09-\x0D]+")) < FRAGMENT_WORDS)
+        return (
+            (letters * 4 < bare)
+            | (count_of(x, SYMBOLS) * 4 >= letters)
+            | ((entries >= 3) & (entries * 24 >= letters))
+            | fragment
+            | ((F.length(x) <= 40) & x.rlike(NAVIGATION))
+            | ((F.length(x) <= BOILERPLATE_CHARS) & x.rlike(BOILERPLATE))
+        )
+
+    return let(F.trim(line, F.lit(SPACE)), tests)
 
 
 def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_share: float = 0.5, min_words: int = 10, most_repeated: int = 20) -> DataFrame:
@@ -72,7 +99,7 @@ def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     base_failed: under min_words words, or over most_repeated percent of them in repeated runs of five. kept: not that, and
     the lines that passed hold keep_share of the non-space characters at least. A null text counts as empty and isn't kept.
-    Nothing is compared across rows, so equal rows and ids change nothing.
+    Nothing is compared across rows, so equal rows and ids change nothing; texts may be of any length that a row holds.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t"))
     t = F.col("_t")
