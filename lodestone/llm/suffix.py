@@ -123,7 +123,7 @@ def _keyed(rows: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, carry: tuple[str, ...] = (), keep: str = "bytes", min_words: int = 0) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept for each row of docs.
 
-    keep: kept holds the remaining "bytes", or them as "text" (a character that lost a part of its bytes goes whole), or "none".
+    keep: kept holds the remaining "bytes", or them as "text" (a character cut at an edge of a removed run goes whole), or "none".
 
     A byte goes if it lies in a string of length bytes (64 or more) that starts at another place of the input too; overlaps
     count. min_words: a run of such bytes stays if it has fewer words or parts of words (parted by [\\x20\\x09-\\x0D]). carry: further columns that rows keep, under their own names; one named like a result gets "_in" behind it. Null
@@ -220,7 +220,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = cut(spans.groupBy(*ROW).agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans")))
     discard(runs, classes, cells, same, starts)
 
-    shown = {"bytes": lambda raw: raw, "text": lambda raw: raw.decode("utf-8", "ignore"), "none": lambda raw: None}[keep]
+    def shown(text, edges):
+        """What stays, from the edges of the kept runs."""
+        runs = [text[a:b].tobytes() for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
+        return None if keep == "none" else b"".join(runs) if keep == "bytes" else "".join(r.decode("utf-8", "ignore") for r in runs)
 
     def remove(batches):
         for batch in lean(batches):
@@ -229,7 +232,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for i, s in enumerate(batch.column("spans")):
                 text = data[offsets[i] : offsets[i + 1]]
                 n_spans, gone = 0, 0
-                kept = text
+                kept, edges = text, np.array([0, len(text)])
                 if s.is_valid:
                     edge = np.zeros(len(text) + 1, np.int32)
                     np.add.at(edge, s.values.field("first").to_numpy(), 1)
@@ -242,9 +245,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                                 covered[lo:hi] = False
                     gone = int(covered.sum())
                     n_spans = int(covered[0]) + int((covered[1:] & ~covered[:-1]).sum())
-                    kept = text[~covered]
+                    kept, edges = text[~covered], np.flatnonzero(np.diff(~covered, prepend=False, append=False))
                 raw = kept.tobytes()
-                for c, v in zip(out, (len(text), gone, n_spans, hashlib.sha256(raw).hexdigest(), shown(raw)), strict=True):
+                for c, v in zip(out, (len(text), gone, n_spans, hashlib.sha256(raw).hexdigest(), shown(text, edges)), strict=True):
                     c.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string() if keep == "text" else pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True)), *(batch.column(c) for c in held)], [f.name for f in schema])

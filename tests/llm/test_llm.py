@@ -119,10 +119,30 @@ def test_license_scan(docs):
 
 
 def test_license_rules(spark):
-    texts = ["Licensed under the Apache License, Version 2.0.", "Licensed under CC BY-NC 4.0.", "a license to kill time", "SPDX-License-Identifier: MIT"]
+    texts = [
+        "Licensed under the Apache License, Version 2.0.", "Licensed under CC BY-NC 4.0.", "a license to kill time", "SPDX-License-Identifier: MIT", "SPDX-License-Identifier: Foo-1", "Licensed under my own terms",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "This program is free software; you can redistribute it and/or modify it", "SPDX-License-Identifier: GPL-3.0-or-later",
+    ]
     got = [r.labels for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
-    assert got == ["apache,apache-2", "cc-by-nc,other", "", "spdx"]
-    assert len(licenses.rules()) > 200
+    assert got == ["apache,apache-2", "cc-by-nc", "", "mit", "spdx", "other", "mit", "gpl", "gpl-3"]
+    assert len(licenses.rules()) > 300
+
+
+def test_license_labels_by_brute_force(docs):
+    """Every rule over every text's words, without gates, then containment and priority."""
+    want = []
+    for i, t in rows_of(docs):
+        w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(LOWER))
+        spaced, found = " " + " ".join(w) + " ", []
+        for label, x, keyword, priority, sure in licenses.rules():
+            if " " + keyword in spaced:
+                for m in re.finditer(f" (?:{x})(?= )", spaced):
+                    a = spaced[: m.start()].count(" ")
+                    found.append((a, a + m[0].count(" "), priority, label, sure))
+        left = [b for b in found if not any(a[0] <= b[0] and a[1] >= b[1] and (a[1] - a[0] > b[1] - b[0] or a[2] < b[2] or (a[2] == b[2] and a[3] < b[3])) for a in found)]
+        base = set(filter(None, base_license(t)[4].split(",")))
+        want.append((i, ",".join(sorted(base | {x[3] for x in left})), max((x[4] for x in left), default=0.0)))
+    same([(r.doc_id, r.labels, r.score) for r in licenses.scan(docs).collect()], want)
 
 
 def shingles(text, k):
@@ -447,12 +467,81 @@ def test_language_learns_every_label(spark):
     assert model.langs == sorted({r[2] for r in rows})
 
 
-def test_codewords_are_chosen_as_by_pairs():
-    for n, bits in ((4, 15), (23, 15)):
-        rng, far, best = np.random.default_rng(7), -1.0, None
-        for _ in range(200):
-            code = np.where(np.argsort(rng.random((bits, n)), axis=1) < (n + 1) // 2, 1.0, -1.0).T * rng.choice([-1.0, 1.0], bits)
-            apart = min(float((code[i] != code[j]).mean()) for i in range(n) for j in range(i))
-            if apart > far:
-                best, far = code, apart
-        assert (langid.codewords(n, bits) == best).all()
+@pytest.mark.parametrize(("n", "bits"), [(2, 15), (3, 15), (4, 15), (5, 15), (6, 15), (23, 15)])
+def test_codewords(n, bits):
+    """No bit is constant, repeats another or is its opposite; words are far apart, so that a wrong bit can be put right."""
+    code = langid.codewords(n, bits)
+    assert code.shape == (n, min(bits, 2 ** (n - 1) - 1))
+    columns = {(c * c[0]).tobytes() for c in code.T}
+    assert len(columns) == code.shape[1] and all(abs(c.sum()) < n for c in code.T)
+    apart = min(int((code[i] != code[j]).sum()) for i in range(n) for j in range(i))
+    assert apart >= (2 ** (n - 2) if n <= 5 else 3)
+
+
+def test_decoding_puts_a_wrong_bit_right():
+    code = langid.codewords(4, 15)
+    model = langid.Model(list("abcd"), code, np.concatenate([np.eye(7), np.zeros((1, 7))]), np.full(7, 1 / 7))
+    for i in range(4):
+        for wrong in range(7):
+            margins = code[i].copy()
+            margins[wrong] *= -1
+            assert model.decode(margins[None])[0] == ["abcd"[i]]
+
+
+def test_languages_of_rows_without_an_id(spark):
+    docs = spark.createDataFrame([(None, "some text", "en"), (1, "other", "de")], "doc_id long, text string, lang string")
+    assert docs.selectExpr(queries.HELD_OUT + " AS h").filter("h is null").count() == 0
+    assert len(langid.training_sample(docs, f"not ({queries.HELD_OUT})", 5, "doc_id", "text", "lang")) >= 1
+
+
+def test_token_counts_of_given_sections(spark):
+    """Sums are the documents' own, whatever the sections: none, null, unsorted, overlapping, empty, past the end."""
+    rows = [(1, "alpha beta gamma", [(0, 5), (11, 16)]), (2, "alpha beta", None), (3, "alpha beta gamma", [(6, 10), (0, 8), (3, 3), (90, 99)]), (4, None, [(0, 3)]), (5, "alpha", [None, (None, 5)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, parts array<struct<a:int,b:int>>")
+    got = collections.Counter()
+    for r in attribution.token_counts(docs, tokens.default_path(), spans_col="parts").collect():
+        got[r.doc_id] += r.n_tokens
+        assert (r.section == -1) == (r.start_char is None)
+    want = {i: len(x) - 1 for (i, _, _), x in zip(rows, encoded([t for _, t, _ in rows]), strict=True)}
+    assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
+
+
+def test_neighbours_where_counting_prunes(spark):
+    """Recall against brute force at a size at which most rows aren't verified."""
+    x = np.array([r.embedding for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").collect()], dtype=float)
+    index, asked = neighbours.CollisionIndex(x), x[::20]
+    hits = verified = 0
+    for q, at in index.search(asked, 20):
+        best = set(np.argsort(-(x @ asked[q]), kind="stable")[:20].tolist())
+        hits, verified = hits + len(best & set(at.tolist())), verified + len(at)
+    assert verified < 0.5 * len(x) * len(asked) and hits >= 0.9 * 20 * len(asked)
+
+
+def base_kept(text):
+    """Whether a document stays, line by line."""
+    t = text or ""
+    good = []
+    for line in t.split("\n"):
+        x = line.strip(quality.SPACE)
+        if not x:
+            continue
+        bare = re.sub("[" + re.escape(quality.SPACE) + "]", "", x)
+        letters, symbols, entries = sum(c not in quality.MARKS for c in x), sum(c in quality.SYMBOLS for c in x), sum(c in quality.SEPARATORS for c in x)
+        fragment = len(x) <= 60 and x[-1] not in quality.TERMINAL and len(re.split(r"[\x20\x09-\x0D]+", x)) < quality.FRAGMENT_WORDS
+        navigation = len(x) <= 40 and re.search(quality.NAVIGATION, x, re.ASCII)
+        boilerplate = len(x) <= quality.BOILERPLATE_CHARS and re.search(quality.BOILERPLATE, x, re.ASCII)
+        if not (letters * 4 < len(bare) or symbols * 4 >= letters or (entries >= 3 and entries * 24 >= letters) or fragment or navigation or boilerplate):
+            good.append(line)
+    chars = lambda y: len(re.sub("[" + re.escape(quality.SPACE) + "]", "", y))
+    return not base_quality(t)[5] and chars("".join(good)) >= chars(t) * 0.5
+
+
+def test_line_verdicts_by_brute_force(docs):
+    same([(r.doc_id, r.kept) for r in quality.clean_lines(docs).collect()], [(i, base_kept(t)) for i, t in rows_of(docs)])
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_against_sql(spark, name):
+    import oracle
+
+    assert oracle.differences(spark, oracle.duck(FOLDER), name, queries.queries()[name], queries.oracle_sql()[name], FOLDER) == ""
