@@ -594,4 +594,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-from lodestone.plans import formula_queries, frame_queries, geometry_queries, stats_queries  # noqa: E402, F401
+from lodestone.plans import formula_queries, frame_queries, geometry_queries, raster_queries, stats_queries  # noqa: E402, F401
