@@ -1,3 +1,7 @@
-"""lodestone: a spatial, network and tabular analytics engine that is declared on PySpark DataFrames."""
+"""A spatial, network and tabular analytics engine declared on PySpark DataFrames."""
 
-__version__ = "0.1.0"
+from lodestone.frame import Frame, Table
+from lodestone.session import session
+from lodestone.sources.data import read_data, write_data
+
+__all__ = ["Frame", "Table", "read_data", "session", "write_data"]
